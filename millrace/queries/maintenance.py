@@ -1 +1,149 @@
-"""Queries."""
+"""Table writes, compaction, statistics and streams, run for real in the scratch folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.plans.tables import Lakehouse, storage_bytes
+from millrace.queries import inputs as I
+from millrace.queries import query
+from millrace.queries.merging import SQL_CHANGES, SQL_NEWEST, SQL_TARGET, order_changes, target_orders
+from millrace.schema import TableSpec
+from millrace.session import scratch_path
+from millrace.streaming import ingest
+from millrace.streaming.usage import usage_windows
+from millrace.usage import metering
+from millrace.usage.summary import dashboard
+from millrace import dims
+
+
+def new_lake(spark: SparkSession, purpose: str) -> tuple[Lakehouse, str]:
+    """A lakehouse of its own in the shared scratch folder, and a namespace for it."""
+    lake = Lakehouse(spark, scratch_path(spark, purpose))
+    return lake, f"{purpose}_{lake.root[-8:]}"
+
+
+@query(
+    f"""WITH {SQL_TARGET}, {SQL_CHANGES}, {SQL_NEWEST}
+    SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.o_orderkey = t.o_orderkey)
+    UNION ALL SELECT * FROM newest"""
+)
+def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed write into a stored table partitioned by year: only touched years are rewritten."""
+    lake, space = new_lake(spark, "upsert")
+    orders = target_orders(spark, sf_dir)
+    table = f"{space}.orders"
+    lake.ensure(table, TableSpec(orders.schema, ("o_orderkey",), ("years(changed_at)",)))
+    lake.append(table, orders)
+    lake.upsert(table, order_changes(spark, sf_dir), ["o_orderkey"], ["changed_at"])
+    return lake.read(table)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders")
+def compact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small files per partition, rewritten as one each; the rows stay."""
+    lake, space = new_lake(spark, "compact")
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    table = f"{space}.orders"
+    lake.ensure(table, TableSpec(orders.schema, ("o_orderkey",), ("o_orderstatus",)))
+    for priority in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        one = I.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == priority)
+        lake.append(table, one)
+    lake.compact(table)
+    return lake.read(table)
+
+
+@query(
+    """SELECT 'customer' AS table_name, count(*) AS row_count, 5 AS columns FROM customer
+    UNION ALL SELECT 'nation', count(*), 3 FROM nation
+    UNION ALL SELECT 'region', count(*), 2 FROM region"""
+)
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake, space = new_lake(spark, "stats")
+    for name in ("customer", "nation", "region"):
+        df = I.table(spark, sf_dir, name)
+        lake.ensure(f"{space}.{name}", TableSpec(df.schema))
+        lake.append(f"{space}.{name}", df)
+    return lake.stats(space).drop("size_bytes")
+
+
+@query()
+def storage_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under the data folder, sampled as storage and metered.  File sizes are no SQL matter."""
+    held = storage_bytes(spark, sf_dir)
+    sample = metering.storage_samples(
+        held, "c0", F.lit(I.AS_OF).cast("timestamp_ntz")
+    )
+    return metering.meter_storage(sample).drop("attributes")
+
+
+@query(
+    f"""WITH log AS ({I.SQL_USAGE_LOG}), t AS (
+      SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows)
+    SELECT 2 AS tables, rows, meter, quantity FROM t CROSS JOIN (
+      SELECT meter, CAST(sum(quantity) AS DECIMAL(20,9)) AS quantity FROM log GROUP BY 1)"""
+)
+def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        I.table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count", F.lit(0).alias("size_bytes")
+        )
+        for name in ("customer", "supplier")
+    ]
+    totals = dashboard(parts[0].unionByName(parts[1]), I.usage_log(spark, sf_dir))
+    return totals.select("tables", "rows", F.explode("usage").alias("meter", "quantity"))
+
+
+# ---------------------------------------------------------------------- streams
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = I.table(spark, sf_dir, "events").schema
+    return ingest.read_files(spark, sf_dir, schema, name_filter="events.parquet")
+
+
+@query(
+    f"""{I.SQL_USAGE} SELECT tenant_id, meter, date_trunc('day', occurred_at) AS period_start,
+      CAST(sum(quantity) AS DECIMAL(20,9)) AS quantity,
+      CAST(sum(quantity * unit_cost_usd) AS DECIMAL(24,8)) AS infra_cost_usd, count(*) AS events
+    FROM usage GROUP BY 1, 2, 3"""
+)
+def stream_usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily usage kept by a stream of the event files; the change log holds the result."""
+    raw = event_stream(spark, sf_dir)
+    log = I.usage_log_of(raw)
+    events = metering.with_unit_cost(log, dims.rates(spark), dims.region_indexes(spark))
+    windows = usage_windows(events)
+    path = scratch_path(spark, "stream-usage")
+    ingest.log_batches(windows, f"{path}/log", f"{path}/checkpoint", "update").awaitTermination()
+    out = ingest.latest(spark, f"{path}/log", ["period_start", "tenant_id", "meter"], windows.schema)
+    return out.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT user_id, event_id, event_type, value, ts FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events) WHERE rn = 1"""
+)
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event per user, written by key as the files arrive."""
+    lake, space = new_lake(spark, "stream")
+    raw = event_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "ts")
+    table = f"{space}.latest_events"
+    lake.ensure(table, TableSpec(raw.schema, ("user_id",)))
+    checkpoint = f"{lake.root}/checkpoint"
+    ingest.upsert_stream(raw, lake, table, ["user_id"], ["ts", "event_id"], checkpoint).awaitTermination()
+    return lake.read(table)
+
+
+@query("SELECT event_id, user_id, ts FROM events")
+def stream_without_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice; the stream lets each pass once."""
+    raw = event_stream(spark, sf_dir).select("event_id", "user_id", "ts")
+    twice = raw.unionByName(raw)
+    once = ingest.without_replays(twice, ["event_id"], "ts", "40 days")
+    path = scratch_path(spark, "stream-once")
+    ingest.log_batches(once, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/log").drop("_batch")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

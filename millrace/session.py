@@ -45,12 +45,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CONSTANTS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def values_table(spark: SparkSession, rows_sql: str, columns: str) -> DataFrame:
     """A small constant table as a local relation, so its size is known when planning.
 
-    ``columns`` is a DDL list; each value is cast to its declared type.
+    ``columns`` is a list of ``name TYPE`` parted by semicolons; each value is
+    cast to its declared type.  The analysed plan is kept for the session.
     """
-    pairs = [c.strip().split(" ", 1) for c in columns.split(";")]
-    names = ", ".join(name for name, _ in pairs)
-    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in pairs)
-    return spark.sql(f"SELECT {casts} FROM VALUES {rows_sql} AS v({names})")
+    key = (spark.sparkContext.applicationId, rows_sql, columns)
+    if key not in _CONSTANTS:
+        pairs = [c.strip().split(" ", 1) for c in columns.split(";")]
+        names = ", ".join(name for name, _ in pairs)
+        casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in pairs)
+        _CONSTANTS[key] = spark.sql(f"SELECT {casts} FROM VALUES {rows_sql} AS v({names})")
+    return _CONSTANTS[key]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.running import balanced_slices, running_total
 from millrace.usage import money
-from millrace.usage.pricing import best_tier, tier_array
+from millrace.usage.pricing import best_tier_sql, tier_array
 
 #: Sorts grants without an end after all others.
 NEVER = "9999-12-31"
@@ -20,7 +20,7 @@ def grant_credits(purchases: DataFrame, tiers: DataFrame, expires_in_days: int |
     """
     one = F.broadcast(tier_array(tiers, "tiers"))
     usd = money.amount(F.col("purchased_usd"))
-    rate = best_tier(usd, F.col("tiers"), "from_usd", "bonus")
+    rate = F.expr(best_tier_sql("purchased_usd", "tiers", "from_usd", "bonus"))
     expires = (
         F.col("granted_at") + F.make_dt_interval(days=F.lit(expires_in_days))
         if expires_in_days

@@ -164,30 +164,30 @@ def meter_idle(sessions: DataFrame, sizes: DataFrame, billed_seconds: int = 60)
     )
 
 
-def node_cost_per_hour(vcpus: Column | int, gb_ram: Column | int, spot: Column) -> Column:
+def node_cost_sql(vcpus: str | int, gb_ram: str | int, spot: str = "false") -> str:
     """Hourly price of a machine, from the rate columns of the row."""
-    base = F.lit(vcpus) * F.col("vcpu_hour") + F.lit(gb_ram) * F.col("gb_ram_hour")
-    return F.when(spot, base * (F.lit(1.0) - F.col("spot_discount"))).otherwise(base)
+    discount = f"IF({spot}, 1.0D - spot_discount, 1.0D)"
+    return f"(({vcpus} * vcpu_hour + {gb_ram} * gb_ram_hour) * {discount})"
 
 
 def priced_rates(df: DataFrame, rates: DataFrame, indexes: DataFrame) -> DataFrame:
-    """``df`` with the rate columns of its provider and region."""
-    index = F.broadcast(
-        indexes.select(
-            F.col("provider").alias("_ip"), F.col("region").alias("_ir"), "price_index"
-        )
+    """``df`` with the rate columns of its provider and region.
+
+    Both dimensions are a handful of constant rows, so both are broadcast.
+    """
+    index = indexes.selectExpr("provider AS _ip", "region AS _ir", "price_index")
+    rate = rates.withColumnRenamed("provider", "_rp")
+    joined = df.join(F.broadcast(rate), F.expr("provider = _rp"), "left").join(
+        F.broadcast(index), F.expr("provider = _ip AND region = _ir"), "left"
     )
-    rate = F.broadcast(rates.withColumnRenamed("provider", "_rp"))
-    joined = df.join(rate, F.col("provider") == F.col("_rp"), "left").join(
-        index, (F.col("provider") == F.col("_ip")) & (F.col("region") == F.col("_ir")), "left"
+    by_region = ("vcpu_hour", "gb_ram_hour", "storage_gb_month")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[
+            F.expr(f"{c} * coalesce(price_index, 1.0D) AS {c}" if c in by_region else c)
+            for c in RATE_COLUMNS
+        ],
     )
-    by_region = F.coalesce(F.col("price_index"), F.lit(1.0))
-    return joined.withColumns(
-        {
-            name: F.col(name) * by_region
-            for name in ("vcpu_hour", "gb_ram_hour", "storage_gb_month")
-        }
-    ).drop("_rp", "_ip", "_ir", "price_index")
 
 
 RATE_COLUMNS = [
@@ -202,28 +202,24 @@ RATE_COLUMNS = [
 ]
 
 
-def unit_cost(meter: Column, spot: Column) -> Column:
-    """Infrastructure cost of one unit of a meter, from the rate columns of the row."""
-    unit = node_cost_per_hour(dims.UNIT_VCPUS, dims.UNIT_GB, spot) / F.lit(60.0)
-    worker = node_cost_per_hour(dims.TASK_VCPUS, dims.TASK_GB, spot) / F.lit(60.0)
-    puts = F.lit(dims.PUTS_PER_GB / 1000.0) * F.col("put_per_1k")
-    return money.rate(
-        F.when(meter == dims.COMPUTE, unit)
-        .when(meter == dims.STORAGE, F.col("storage_gb_month"))
-        .when(meter == dims.INGEST, puts)
-        .when(meter == dims.TASKS, worker)
-        .when(meter == dims.EGRESS, F.col("egress_gb"))
-        .otherwise(F.lit(0.0))
-    )
+def unit_cost_sql(spot: str) -> str:
+    """Infrastructure cost of one unit of the row's meter, from its rate columns."""
+    unit = node_cost_sql(dims.UNIT_VCPUS, dims.UNIT_GB, spot)
+    worker = node_cost_sql(dims.TASK_VCPUS, dims.TASK_GB, spot)
+    return f"""CAST(CASE meter
+        WHEN '{dims.COMPUTE}' THEN {unit} / 60.0D
+        WHEN '{dims.STORAGE}' THEN storage_gb_month
+        WHEN '{dims.INGEST}' THEN {dims.PUTS_PER_GB / 1000.0}D * put_per_1k
+        WHEN '{dims.TASKS}' THEN {worker} / 60.0D
+        WHEN '{dims.EGRESS}' THEN egress_gb
+        ELSE 0.0D END AS {money.RATE})"""
 
 
 def with_unit_cost(events: DataFrame, rates: DataFrame, indexes: DataFrame) -> DataFrame:
     """Events with the unit cost of their provider, region and meter."""
-    spot = F.coalesce(_optional(events, "spot", F.lit(False)), F.lit(False))
-    return (
-        priced_rates(events, rates, indexes)
-        .withColumn("unit_cost_usd", unit_cost(F.col("meter"), spot))
-        .drop(*RATE_COLUMNS)
+    spot = "coalesce(spot, false)" if "spot" in events.columns else "false"
+    return priced_rates(events, rates, indexes).selectExpr(
+        *[f"`{c}`" for c in events.columns], f"{unit_cost_sql(spot)} AS unit_cost_usd"
     )
 
 

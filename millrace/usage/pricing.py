@@ -19,7 +19,7 @@ from millrace import dims
 from millrace.functions.temporal import month_end, month_start
 from millrace.operators.running import running_total
 from millrace.usage import money
-from millrace.usage.metering import node_cost_per_hour, priced_rates
+from millrace.usage.metering import node_cost_sql, priced_rates
 
 def _zero() -> Column:
     return F.lit(0).cast(money.AMOUNT)
@@ -57,31 +57,34 @@ def band_arrays(bands: DataFrame) -> DataFrame:
     return bands.groupBy("plan").agg(F.array_sort(F.collect_list(band)).alias("bands"))
 
 
-def progressive_fee(spend: Column, bands: Column) -> Column:
-    """Marginal fee: the spend inside each band at the rate of that band."""
-
-    def add(total: Column, band: Column) -> Column:
-        upper = F.least(spend, F.coalesce(band["to_usd"].cast(money.AMOUNT), spend))
-        inside = F.greatest(upper - band["from_usd"], F.lit(0))
-        return (total + inside.cast(money.AMOUNT) * band["fee_rate"]).cast(money.AMOUNT)
-
-    return F.coalesce(F.aggregate(bands, F.lit(0).cast(money.AMOUNT), add), _zero())
+def progressive_fee_sql(spend: str) -> str:
+    """Marginal fee: the spend inside each of the row's bands at the rate of that band."""
+    inside = (
+        f"CAST(greatest(least({spend}, coalesce(CAST(b.to_usd AS {money.AMOUNT}), {spend}))"
+        f" - b.from_usd, 0) AS {money.AMOUNT})"
+    )
+    return (
+        f"coalesce(aggregate(bands, CAST(0 AS {money.AMOUNT}), "
+        f"(fee, b) -> CAST(fee + {inside} * b.fee_rate AS {money.AMOUNT})), 0)"
+    )
 
 
-def marginal_rate(spend: Column, bands: Column) -> Column:
+def marginal_rate_sql(spend: str) -> str:
     """Rate of the band the spend lies in."""
-    held = F.filter(bands, lambda b: b["to_usd"].isNull() | (spend <= b["to_usd"]))
-    return F.coalesce(F.get(held, F.lit(0))["fee_rate"], F.lit(0).cast("decimal(6,4)"))
+    held = f"get(filter(bands, b -> b.to_usd IS NULL OR {spend} <= b.to_usd), 0).fee_rate"
+    return f"coalesce({held}, CAST(0 AS DECIMAL(6,4)))"
 
 
 def platform_fees(spending: DataFrame, bands: DataFrame, spend: str = "infra_usd") -> DataFrame:
     """``spending`` (with ``plan``) and its fee and blended rate."""
     by_plan = F.broadcast(band_arrays(bands))
-    out = spending.join(by_plan, "plan", "left").withColumn(
-        "platform_fee_usd", progressive_fee(money.amount(F.col(spend)), F.col("bands"))
-    )
+    fee = progressive_fee_sql(f"CAST({spend} AS {money.AMOUNT})")
     blended = money.part(F.col("platform_fee_usd"), F.col(spend))
-    return out.withColumn("blended_rate", blended.cast("decimal(9,6)")).drop("bands")
+    return spending.join(by_plan, "plan", "left").select(
+        *spending.columns,
+        F.expr(f"CAST({fee} AS {money.AMOUNT}) AS platform_fee_usd"),
+        blended.cast("decimal(9,6)").alias("blended_rate"),
+    )
 
 
 # ------------------------------------------------------------------------- bills
@@ -89,33 +92,24 @@ def platform_fees(spending: DataFrame, bands: DataFrame, spend: str = "infra_usd
 
 def priced_usage(summary: DataFrame, accounts: DataFrame, card: RateCard) -> DataFrame:
     """Usage lines with what they cost: infrastructure and add-on amounts per meter."""
-    addons = F.broadcast(
-        card.addons.select(
-            F.col("plan").alias("_plan"), F.col("meter").alias("_meter"), "included", "unit_price"
-        )
-    )
+    addons = card.addons.selectExpr("plan AS _plan", "meter AS _meter", "included", "unit_price")
     lines = summary.join(accounts, "tenant_id").join(
-        addons, (F.col("plan") == F.col("_plan")) & (F.col("meter") == F.col("_meter")), "left"
+        F.broadcast(addons), F.expr("plan = _plan AND meter = _meter"), "left"
     )
     markup = (
-        F.when(F.col("meter") == dims.STORAGE, F.lit(card.storage_markup))
-        .when(F.col("meter") == dims.EGRESS, F.lit(card.egress_markup))
-        .otherwise(F.lit(0.0))
-        .cast("decimal(6,4)")
+        f"CAST(CASE meter WHEN '{dims.STORAGE}' THEN {card.storage_markup} "
+        f"WHEN '{dims.EGRESS}' THEN {card.egress_markup} ELSE 0 END AS DECIMAL(6,4))"
+    )
+    return lines.selectExpr(
+        *[f"`{c}`" for c in dict.fromkeys([*summary.columns, *accounts.columns])],
+        "unit_price",
+        f"CASE WHEN infra_cost_usd > 0 OR quantity > 0 "
+        f"THEN CAST(infra_cost_usd * (1 + {markup}) AS {money.AMOUNT}) END AS infra_amount_usd",
+        # No allowance in the row is an unlimited one, and gives NULL.
+        f"CASE WHEN quantity > included "
+        f"THEN CAST(quantity - included AS {money.QUANTITY}) END AS addon_quantity",
+        f"CAST(addon_quantity * unit_price AS {money.AMOUNT}) AS addon_amount_usd",
     )
-    beyond = money.positive(F.col("quantity") - F.col("included"))
-    charged = F.col("unit_price").isNotNull() & F.col("included").isNotNull()
-    addon = money.amount(money.quantity(beyond) * F.col("unit_price"))
-    listed = (F.col("infra_cost_usd") > 0) | (F.col("quantity") > 0)
-    return lines.withColumns(
-        {
-            "infra_amount_usd": F.when(
-                listed, money.amount(F.col("infra_cost_usd") * (F.lit(1) + markup))
-            ),
-            "addon_quantity": F.when(charged & (beyond > 0), money.quantity(beyond)),
-            "addon_amount_usd": F.when(charged & (beyond > 0), addon),
-        }
-    ).drop("_plan", "_meter")
 
 
 ACCOUNT_DEFAULTS = {
@@ -140,66 +134,69 @@ def price(summary: DataFrame, accounts: DataFrame, card: RateCard) -> DataFrame:
     """
     lines = priced_usage(summary, full_accounts(accounts), card)
     account_columns = ["plan", *ACCOUNT_DEFAULTS]
-    compute = F.col("meter") == dims.COMPUTE
-    # One line per meter, so the list is as short as the list of meters.
-    line = F.struct(
-        "meter", "quantity", "infra_cost_usd", "infra_amount_usd",
-        "addon_quantity", "addon_amount_usd", "unit_price",
-    )
+    compute = f"meter = '{dims.COMPUTE}'"
     base = lines.groupBy("tenant_id", "period_start", *account_columns).agg(
-        money.amount(F.coalesce(F.sum("infra_amount_usd"), F.lit(0))).alias("infrastructure_usd"),
-        money.amount(F.coalesce(F.sum("addon_amount_usd"), F.lit(0))).alias("addons_usd"),
-        F.coalesce(F.sum(F.when(compute, F.col("quantity"))), F.lit(0)).cast("double").alias("_ccu"),
-        F.coalesce(F.sum(F.when(compute, F.col("infra_cost_usd"))), F.lit(0))
-        .cast("double")
-        .alias("_ccu_cost"),
-        F.array_sort(F.collect_list(line)).alias("usage_lines"),
+        F.expr(f"CAST(coalesce(sum(infra_amount_usd), 0) AS {money.AMOUNT}) AS infrastructure_usd"),
+        F.expr(f"CAST(coalesce(sum(addon_amount_usd), 0) AS {money.AMOUNT}) AS addons_usd"),
+        F.expr(f"CAST(coalesce(sum(quantity) FILTER (WHERE {compute}), 0) AS DOUBLE) AS _ccu"),
+        F.expr(f"CAST(coalesce(sum(infra_cost_usd) FILTER (WHERE {compute}), 0) AS DOUBLE) AS _ccu_cost"),
+        # One line per meter, so the list is as short as the list of meters.
+        F.expr(
+            "array_sort(collect_list(struct(meter, quantity, infra_cost_usd, infra_amount_usd, "
+            "addon_quantity, addon_amount_usd, unit_price))) AS usage_lines"
+        ),
     )
-    plan = F.broadcast(
-        card.plans.select("plan", "display_name", "monthly_minimum", "commitments").join(
-            F.broadcast(band_arrays(card.bands)), "plan", "left"
-        ).crossJoin(F.broadcast(tier_array(card.commitments, "tiers")))
+    plan = (
+        card.plans.select("plan", "display_name", "monthly_minimum", "commitments")
+        .join(F.broadcast(band_arrays(card.bands)), "plan", "left")
+        .crossJoin(F.broadcast(tier_array(card.commitments, "tiers")))
     )
-    bill = base.join(plan, "plan", "left")
-
-    infra = F.col("infrastructure_usd")
-    fee = F.when(infra > 0, progressive_fee(infra, F.col("bands"))).otherwise(_zero())
-    bill = bill.withColumn("fee_usd", fee)
-
-    saved = F.col("baseline_ccu_per_gb") * F.col("gb_scanned") - F.col("_ccu")
-    per_unit = money.part(F.col("_ccu_cost"), F.col("_ccu"))
-    measured = F.col("baseline_ccu_per_gb").isNotNull() & (F.col("gb_scanned") > 0) & (saved > 0)
-    saved_usd = F.when(measured, money.amount(saved * per_unit)).otherwise(_zero())
-    bill = bill.withColumn("saved_usd", saved_usd)
-    share = money.amount(F.col("saved_usd") * F.lit(card.efficiency_share).cast("decimal(6,4)"))
-    bill = bill.withColumn("success_fee_usd", F.least(share, F.col("fee_usd")))
-
-    revenue = F.col("fee_usd") + F.col("success_fee_usd") + F.col("addons_usd")
-    discount = F.when(
-        F.col("commitments") & (F.col("term_months") > 0),
-        money.amount(
-            revenue.cast(money.AMOUNT)
-            * best_tier(F.col("term_months"), F.col("tiers"), "term_months", "discount")
+    money_of = lambda expression, name: f"CAST({expression} AS {money.AMOUNT}) AS {name}"
+    tier = best_tier_sql("term_months", "tiers", "term_months", "discount")
+    # Each amount may use the ones before it in the same select.
+    return base.join(F.broadcast(plan), "plan", "left").selectExpr(
+        "tenant_id",
+        "period_start",
+        *account_columns,
+        "display_name",
+        "infrastructure_usd",
+        "addons_usd",
+        "usage_lines",
+        money_of(
+            f"IF(infrastructure_usd > 0, {progressive_fee_sql('infrastructure_usd')}, 0)", "fee_usd"
+        ),
+        money_of(
+            "CASE WHEN gb_scanned > 0 AND baseline_ccu_per_gb * gb_scanned > _ccu AND _ccu > 0 "
+            "THEN (baseline_ccu_per_gb * gb_scanned - _ccu) * (_ccu_cost / _ccu) ELSE 0 END",
+            "saved_usd",
+        ),
+        money_of(
+            f"least(CAST(saved_usd * CAST({card.efficiency_share} AS DECIMAL(6,4)) AS {money.AMOUNT}), fee_usd)",
+            "success_fee_usd",
         ),
-    ).otherwise(_zero())
-    bill = bill.withColumn("commitment_usd", -discount)
+        money_of("fee_usd + success_fee_usd + addons_usd", "revenue_usd"),
+        money_of(f"IF(commitments AND term_months > 0, -revenue_usd * {tier}, 0)", "commitment_usd"),
+        money_of(
+            "IF(monthly_minimum > 0, greatest(monthly_minimum - revenue_usd - commitment_usd, 0), 0)",
+            "minimum_usd",
+        ),
+        money_of("fee_usd + success_fee_usd + minimum_usd", "platform_fee_usd"),
+        money_of("infrastructure_usd + platform_fee_usd + addons_usd", "subtotal_usd"),
+        money_of(
+            f"-greatest(least(CAST(credits_balance_usd AS {money.AMOUNT}), subtotal_usd + commitment_usd), 0)",
+            "credits_usd",
+        ),
+        money_of("commitment_usd + credits_usd", "discounts_usd"),
+        money_of("greatest(subtotal_usd + discounts_usd, 0)", "total_usd"),
+        f"{MARKUP_SQL} AS effective_markup",
+    ).drop("revenue_usd")
 
-    short = F.col("monthly_minimum") - (revenue + F.col("commitment_usd"))
-    bill = bill.withColumn(
-        "minimum_usd",
-        F.when(F.col("monthly_minimum") > 0, money.amount(money.positive(short))).otherwise(_zero()),
-    )
-    bill = bill.withColumn(
-        "platform_fee_usd",
-        money.amount(F.col("fee_usd") + F.col("success_fee_usd") + F.col("minimum_usd")),
-    )
-    bill = bill.withColumn(
-        "subtotal_usd", money.amount(infra + F.col("platform_fee_usd") + F.col("addons_usd"))
-    )
-    payable = F.col("subtotal_usd") + F.col("commitment_usd")
-    applied = F.least(money.amount(F.col("credits_balance_usd")), money.amount(payable))
-    bill = bill.withColumn("credits_usd", -money.amount(money.positive(applied)))
-    return with_totals(bill).drop("bands", "tiers", "commitments", "_ccu", "_ccu_cost")
+
+#: Total per dollar of infrastructure.
+MARKUP_SQL = (
+    "CAST(IF(infrastructure_usd > 0, "
+    "CAST(total_usd AS DOUBLE) / CAST(infrastructure_usd AS DOUBLE), 0) AS DECIMAL(18,3))"
+)
 
 
 def tier_array(tiers: DataFrame, out: str) -> DataFrame:
@@ -207,20 +204,10 @@ def tier_array(tiers: DataFrame, out: str) -> DataFrame:
     return tiers.agg(F.collect_list(F.struct(*tiers.columns)).alias(out))
 
 
-def best_tier(value: Column, tiers: Column, bound: str, gain: str) -> Column:
-    """The highest gain among the tiers whose bound is reached, else zero."""
-    reached = F.transform(F.filter(tiers, lambda t: value >= t[bound]), lambda t: t[gain])
-    return F.coalesce(F.array_max(reached), F.lit(0)).cast("decimal(6,4)")
-
-
-def with_totals(bill: DataFrame) -> DataFrame:
-    """Adds discounts, the total (never below zero) and total per infrastructure dollar."""
-    discounts = money.amount(F.col("commitment_usd") + F.col("credits_usd"))
-    total = money.amount(money.positive(F.col("subtotal_usd") + discounts))
-    markup = money.part(total, F.col("infrastructure_usd")).cast("decimal(18,3)")
-    return bill.withColumn("discounts_usd", discounts).withColumn("total_usd", total).withColumn(
-        "effective_markup", F.when(F.col("infrastructure_usd") > 0, markup).otherwise(F.lit(0).cast("decimal(18,3)"))
-    )
+def best_tier_sql(value: str, tiers: str, bound: str, gain: str) -> str:
+    """The highest gain among the row's tiers whose bound is reached, else zero."""
+    reached = f"transform(filter({tiers}, t -> {value} >= t.{bound}), t -> t.{gain})"
+    return f"CAST(coalesce(array_max({reached}), 0) AS DECIMAL(6,4))"
 
 
 # Kinds of line items.
@@ -229,65 +216,65 @@ KINDS = ["infrastructure", "platform_fee", "addon", "success_fee", "discount", "
 BILL_KEYS = ["tenant_id", "period_start", "plan"]
 
 
-def line_items(bills: DataFrame) -> DataFrame:
-    """``tenant_id, period_start, plan, seq, kind, meter, quantity, unit_price_usd, amount_usd``."""
+def _entry_sql(
+    seq: int, kind: str, amount: str, meter: str = "CAST(NULL AS STRING)", quantity: str = "0",
+    unit_price: str = "0",
+) -> str:
+    return (
+        f"named_struct('seq', {seq}, 'kind', '{kind}', 'meter', {meter}, "
+        f"'quantity', CAST({quantity} AS {money.QUANTITY}), "
+        f"'unit_price_usd', CAST({unit_price} AS {money.RATE}), "
+        f"'amount_usd', CAST({amount} AS {money.AMOUNT}))"
+    )
 
-    def entry(kind: str, amount: Column, meter: Column | None = None, quantity: Column | None = None,
-              unit_price: Column | None = None, seq: int = 0) -> Column:
-        text = F.lit(None).cast("string")
-        return F.struct(
-            F.lit(seq).alias("seq"),
-            F.lit(kind).alias("kind"),
-            (text if meter is None else meter).alias("meter"),
-            (F.lit(0).cast(money.QUANTITY) if quantity is None else money.quantity(quantity)).alias("quantity"),
-            (F.lit(0).cast(money.RATE) if unit_price is None else money.rate(unit_price)).alias("unit_price_usd"),
-            money.amount(amount).alias("amount_usd"),
-        )
 
-    infra = F.transform(
-        F.filter("usage_lines", lambda u: u["infra_amount_usd"].isNotNull()),
-        lambda u: entry(
-            "infrastructure", u["infra_amount_usd"], u["meter"], u["quantity"],
-            money.part(u["infra_amount_usd"], u["quantity"]), 1,
-        ),
-    )
-    addons = F.transform(
-        F.filter("usage_lines", lambda u: u["addon_amount_usd"].isNotNull()),
-        lambda u: entry("addon", u["addon_amount_usd"], u["meter"], u["addon_quantity"], u["unit_price"], 3),
+def line_items(bills: DataFrame) -> DataFrame:
+    """``tenant_id, period_start, plan, seq, kind, meter, quantity, unit_price_usd, amount_usd``."""
+    price_per = "IF(u.quantity <> 0, CAST(u.infra_amount_usd AS DOUBLE) / CAST(u.quantity AS DOUBLE), 0)"
+    infra = _entry_sql(1, "infrastructure", "u.infra_amount_usd", "u.meter", "u.quantity", price_per)
+    addon = _entry_sql(3, "addon", "u.addon_amount_usd", "u.meter", "u.addon_quantity", "u.unit_price")
+    blended = (
+        "IF(infrastructure_usd <> 0, CAST(fee_usd AS DOUBLE) / CAST(infrastructure_usd AS DOUBLE), 0)"
     )
-    spend = F.col("infrastructure_usd")
     single = [
-        entry("platform_fee", F.col("fee_usd"), None, spend, money.part(F.col("fee_usd"), spend), 2),
-        entry("success_fee", F.col("success_fee_usd"), seq=4),
-        entry("discount", F.col("commitment_usd"), seq=5),
-        entry("minimum", F.col("minimum_usd"), seq=6),
-        entry("discount", F.col("credits_usd"), seq=7),
+        _entry_sql(2, "platform_fee", "fee_usd", quantity="infrastructure_usd", unit_price=blended),
+        _entry_sql(4, "success_fee", "success_fee_usd"),
+        _entry_sql(5, "discount", "commitment_usd"),
+        _entry_sql(6, "minimum", "minimum_usd"),
+        _entry_sql(7, "discount", "credits_usd"),
     ]
-    charged = F.filter(F.array(*single), lambda e: e["amount_usd"] != 0)
-    return bills.select(*BILL_KEYS, F.inline(F.concat(infra, addons, charged)))
+    return bills.selectExpr(
+        *BILL_KEYS,
+        "inline(concat("
+        f"transform(filter(usage_lines, u -> u.infra_amount_usd IS NOT NULL), u -> {infra}), "
+        f"transform(filter(usage_lines, u -> u.addon_amount_usd IS NOT NULL), u -> {addon}), "
+        f"filter(array({', '.join(single)}), e -> e.amount_usd <> 0)))",
+    )
 
 
 def bill_totals(lines: DataFrame) -> DataFrame:
     """Totals by line kind, from the line items alone."""
 
-    def total(*kinds: str) -> Column:
-        chosen = F.when(F.col("kind").isin(*kinds), F.col("amount_usd"))
-        return money.amount(F.coalesce(F.sum(chosen), F.lit(0)))
-
-    sums = lines.groupBy(*BILL_KEYS).agg(
-        total("infrastructure").alias("infrastructure_usd"),
-        total("platform_fee", "minimum", "success_fee").alias("platform_fee_usd"),
-        total("addon").alias("addons_usd"),
-        total("discount").alias("discounts_usd"),
-    )
-    subtotal = money.amount(
-        F.col("infrastructure_usd") + F.col("platform_fee_usd") + F.col("addons_usd")
-    )
-    out = sums.withColumn("subtotal_usd", subtotal).withColumn(
-        "total_usd", money.amount(money.positive(F.col("subtotal_usd") + F.col("discounts_usd")))
+    def total(name: str, *kinds: str) -> Column:
+        listed = ", ".join(f"'{k}'" for k in kinds)
+        summed = f"coalesce(sum(amount_usd) FILTER (WHERE kind IN ({listed})), 0)"
+        return F.expr(f"CAST({summed} AS {money.AMOUNT}) AS {name}")
+
+    return (
+        lines.groupBy(*BILL_KEYS)
+        .agg(
+            total("infrastructure_usd", "infrastructure"),
+            total("platform_fee_usd", "platform_fee", "minimum", "success_fee"),
+            total("addons_usd", "addon"),
+            total("discounts_usd", "discount"),
+        )
+        .selectExpr(
+            "*",
+            f"CAST(infrastructure_usd + platform_fee_usd + addons_usd AS {money.AMOUNT}) AS subtotal_usd",
+            f"CAST(greatest(subtotal_usd + discounts_usd, 0) AS {money.AMOUNT}) AS total_usd",
+            f"{MARKUP_SQL} AS effective_markup",
+        )
     )
-    markup = money.part(F.col("total_usd"), F.col("infrastructure_usd")).cast("decimal(18,3)")
-    return out.withColumn("effective_markup", markup)
 
 
 # ------------------------------------------------------------------- comparisons
@@ -311,7 +298,7 @@ def compare_providers(
     hours: str = "hours",
 ) -> DataFrame:
     """Cost of each workload (a machine shape for some hours) on every provider."""
-    hour = node_cost_per_hour(F.col(vcpus), F.col(gb_ram), F.lit(False))
+    hour = F.expr(node_cost_sql(vcpus, gb_ram))
     return workloads.crossJoin(F.broadcast(rates)).select(
         *workloads.columns,
         "provider",
@@ -335,7 +322,7 @@ def compare_platforms(
     ``workloads``: ``provider, plan, ccu_hours`` and any key columns.
     """
     keys = workloads.columns
-    hour = node_cost_per_hour(dims.UNIT_VCPUS, dims.UNIT_GB, F.lit(False))
+    hour = F.expr(node_cost_sql(dims.UNIT_VCPUS, dims.UNIT_GB))
     rated = workloads.join(
         F.broadcast(rates.withColumnRenamed("provider", "_rp")), F.col("provider") == F.col("_rp")
     ).withColumn("infra_usd", money.amount(hour * F.col("ccu_hours").cast("double")))
@@ -362,15 +349,13 @@ def query_costs(
     The fee uses the rate of the plan's first band.
     """
     by_plan = F.broadcast(band_arrays(bands))
-    per_minute = node_cost_per_hour(dims.UNIT_VCPUS, dims.UNIT_GB, F.col("spot")) / F.lit(60.0)
-    rated = priced_rates(queries, rates, indexes).join(by_plan, "plan", "left")
-    first = marginal_rate(F.lit(0), F.col("bands"))
-    infra = money.amount(F.col("ccu_minutes").cast("double") * per_minute)
-    return rated.withColumn("infrastructure_usd", infra).select(
+    per_minute = f"({node_cost_sql(dims.UNIT_VCPUS, dims.UNIT_GB, 'spot')} / 60.0D)"
+    first = marginal_rate_sql("0")
+    return priced_rates(queries, rates, indexes).join(by_plan, "plan", "left").selectExpr(
         *queries.columns,
-        "infrastructure_usd",
-        money.amount(F.col("infrastructure_usd") * first).alias("fee_usd"),
-        money.amount(F.col("infrastructure_usd") * (F.lit(1) + first)).alias("total_usd"),
+        f"CAST(CAST(ccu_minutes AS DOUBLE) * {per_minute} AS {money.AMOUNT}) AS infrastructure_usd",
+        f"CAST(infrastructure_usd * {first} AS {money.AMOUNT}) AS fee_usd",
+        f"CAST(infrastructure_usd * (1 + {first}) AS {money.AMOUNT}) AS total_usd",
     )
 
 

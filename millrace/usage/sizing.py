@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.usage import money
-from millrace.usage.metering import node_cost_per_hour, priced_rates
+from millrace.usage.metering import node_cost_sql, priced_rates
 
 #: Scan speed per vCPU and the wanted run time (fixed values).
 MB_PER_SECOND = 120.0
@@ -53,7 +53,7 @@ def size_costs(
         shape, F.lower("size") == F.col("_size"), "left"
     )
     clusters = F.greatest(F.col("min_clusters"), F.lit(1))
-    infra = node_cost_per_hour(F.col("vcpus"), F.col("gb_ram"), F.col("spot")) * clusters
+    infra = F.expr(node_cost_sql("vcpus", "gb_ram", "spot")) * clusters
     units = F.col("ccu_per_minute") * clusters * F.lit(60)
     charge = units * F.col("unit_price_usd").cast("double")
     return sized.select(
