@@ -70,24 +70,31 @@ def parsed_schedules(schedules: DataFrame, expression: str = "cron") -> DataFram
     """Adds the number sets of the five fields, and whether the day fields are alternatives.
 
     ``valid`` is false for a malformed expression (wrong field count, value out
-    of range, inverted range); its sets are NULL.
+    of range, inverted range); its sets are NULL.  Every distinct expression is
+    read once, however many schedules share it.
     """
-    out = schedules.withColumn("_fields", _five_fields(F.col(f"`{expression}`")))
-    five = F.size("_fields") == 5
-    for index, name in enumerate(FIELDS):
-        # A wrong number of fields makes every set NULL.
-        raw = F.when(five, F.get("_fields", F.lit(index)))
-        out = out.withColumn(name, _values(raw, index))
+    texts = schedules.select(F.col(f"`{expression}`").alias("_text")).distinct()
+    fields = texts.select("_text", _five_fields(F.col("_text")).alias("_fields"))
+    # A wrong number of fields makes every set NULL.
+    parts = fields.select(
+        "_text",
+        *[
+            F.when(F.size("_fields") == 5, F.get("_fields", F.lit(i))).alias(f"_f{i}")
+            for i in range(5)
+        ],
+    )
     # Both day fields restricted: either may match.  ``?`` counts as ``*``.
-    free = [F.get("_fields", F.lit(i)).isin("*", "?") for i in (2, 4)]
-    everything = F.lit(True)
-    for name in FIELDS:
-        everything = everything & F.col(name).isNotNull()
-    return (
-        out.withColumn("either_day", ~free[0] & ~free[1])
-        .withColumn("valid", everything)
-        .drop("_fields")
+    either = ~F.col("_f2").isin("*", "?") & ~F.col("_f4").isin("*", "?")
+    sets = parts.select(
+        "_text",
+        *[_values(F.col(f"_f{i}"), i).alias(name) for i, name in enumerate(FIELDS)],
+        either.alias("either_day"),
     )
+    every = F.expr(" AND ".join(f"{name} IS NOT NULL" for name in FIELDS))
+    parsed = sets.select("*", every.alias("valid"))
+    return schedules.join(
+        parsed, F.col(f"`{expression}`").eqNullSafe(F.col("_text")), "left"
+    ).drop("_text")
 
 
 def firings(
@@ -102,29 +109,27 @@ def firings(
     the days covered plus the firings found.
     """
     keep = [F.col(f"`{c}`") for c in schedules.columns]
-    bounded = parsed_schedules(schedules, expression).withColumns(
-        {"_start": start.cast("timestamp_ntz"), "_end": end.cast("timestamp_ntz")}
+    bounded = parsed_schedules(schedules, expression).filter("valid").select(
+        "*", start.cast("timestamp_ntz").alias("_start"), end.cast("timestamp_ntz").alias("_end")
     )
-    days = bounded.filter(F.col("valid") & (F.col("_start") < F.col("_end"))).withColumn(
-        "_day",
-        F.explode(F.sequence(F.col("_start").cast("date"), F.col("_end").cast("date"))),
+    days = bounded.filter("_start < _end").select(
+        "*", F.explode(F.sequence(F.to_date("_start"), F.to_date("_end"))).alias("_day")
     )
-    in_month = F.array_contains("days", F.dayofmonth("_day"))
-    in_week = F.array_contains("weekdays", F.dayofweek("_day") - 1)
+    in_month = "array_contains(days, day(_day))"
+    in_week = "array_contains(weekdays, dayofweek(_day) - 1)"
     matching = days.filter(
-        F.array_contains("months", F.month("_day"))
-        & F.when(F.col("either_day"), in_month | in_week).otherwise(in_month & in_week)
-    )
-    timed = matching.withColumn("_hour", F.explode("hours")).withColumn(
-        "_minute", F.explode("minutes")
+        "array_contains(months, month(_day)) AND "
+        f"IF(either_day, {in_month} OR {in_week}, {in_month} AND {in_week})"
     )
-    fired = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(
-        hours=F.col("_hour"), mins=F.col("_minute")
+    # All times of a day in one array, so a day is widened once.
+    times = F.expr(
+        "flatten(transform(hours, h -> transform(minutes, m -> "
+        "CAST(_day AS TIMESTAMP_NTZ) + make_dt_interval(0, h, m, 0))))"
     )
     return (
-        timed.withColumn("fires_at", fired)
-        .filter((F.col("fires_at") >= F.col("_start")) & (F.col("fires_at") < F.col("_end")))
-        .select(*keep, "fires_at")
+        matching.select(*keep, "_start", "_end", F.explode(times).alias("fires_at"))
+        .filter("fires_at >= _start AND fires_at < _end")
+        .drop("_start", "_end")
     )
 
 

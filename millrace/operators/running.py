@@ -29,53 +29,55 @@ def running_total(
             Window.unboundedPreceding, Window.currentRow
         )
         return df.withColumn(out, F.sum(amount).over(whole))
-    sliced = df.withColumn("_slice", slice_by)
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # The group as one struct: it is never NULL itself, so rows and slice sums
+    # join by plain equality and share the partitioning of the window.
+    key = F.struct(*[F.col(f"`{c}`") for c in by]).alias("_key")
+    sliced = df.select("*", key, slice_by.alias("_slice"))
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     before = (
-        sliced.groupBy(*by, "_slice")
+        sliced.groupBy("_key", "_slice")
         .agg(F.sum(amount).alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_slice").alias("_b_slice"), "_before")
+        .select("_key", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     )
-    same = F.col("_slice").eqNullSafe(F.col("_b_slice"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    inside = Window.partitionBy(*by, "_slice").orderBy(*order_by).rowsBetween(
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    joined = sliced.join(before, same, "left")
     total = F.sum(amount).over(inside) + F.col("_before")
-    return joined.withColumn(out, total).select(*[F.col(f"`{c}`") for c in df.columns], out)
+    return sliced.join(before, ["_key", "_slice"]).select(
+        *[F.col(f"`{c}`") for c in df.columns], total.alias(out)
+    )
 
 
 def balanced_slices(
-    df: DataFrame, by: Sequence[str], position: str, out: str = "_slice", rows_per_slice: int = 1_000_000
+    df: DataFrame, by: str, position: str, out: str = "_slice", rows_per_slice: int = 1_000_000
 ) -> DataFrame:
     """Cuts every large group into slices of about equal size along ``position``.
 
     The cuts are approximate quantiles; they only decide which task does what,
     never the result, because any non-decreasing slice number will do.  Groups
-    below ``rows_per_slice`` stay whole and get slice 0.
+    up to ``rows_per_slice`` stay whole and get slice 0; only the few larger
+    ones, at most all rows divided by that number, are looked at for cuts.
     """
+    place = F.col(position).cast("double")
+    large = (
+        df.groupBy(F.col(by).alias("_c_by"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > rows_per_slice)
+        .select("_c_by")
+    )
     fractions = F.array(*[F.lit(i / 64) for i in range(1, 64)])
     cuts = (
-        df.groupBy(*[F.col(c).alias(f"_c_{c}") for c in by])
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.percentile_approx(F.col(position).cast("double"), fractions, 1000).alias("_cuts"),
-        )
-        .filter(F.col("_rows") > rows_per_slice)
-        .drop("_rows")
+        df.join(large, F.col(by) == F.col("_c_by"))
+        .groupBy("_c_by")
+        .agg(F.percentile_approx(place, fractions, 1000).alias("_cuts"))
     )
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
-    place = F.col(position).cast("double")
     number = F.size(F.filter("_cuts", lambda cut: cut <= place))
-    joined = df.join(cuts, same, "left")
-    return joined.withColumn(
-        out, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(number)
-    ).select(*[F.col(f"`{c}`") for c in df.columns], out)
+    return df.join(cuts, F.col(by) == F.col("_c_by"), "left").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(number).alias(out),
+    )
 
 
 def idle_sessions(df: DataFrame, by: Sequence[str], at: str, timeout_seconds: int) -> DataFrame:

@@ -229,7 +229,7 @@ def materialize(lake: Lakehouse, model: Model, sql: str, incremental: bool = Fal
         return lake.append(model.table, df).rows
     if lake.exists(model.table) and lake.spec(model.table) != spec:
         # Another shape: a rebuilt table has exactly the columns of its query.
-        return _replace_table(lake, model.table, spec, df)
+        return lake.replace(model.table, spec, df)
     lake.ensure(model.table, spec)
     return lake.overwrite(model.table, df).rows
 
@@ -243,21 +243,6 @@ def _storable(schema: T.StructType) -> T.StructType:
     )
 
 
-def _replace_table(lake: Lakehouse, table: str, spec: TableSpec, df: DataFrame) -> int:
-    """Build under another name first: the query may read the old table."""
-    staged = f"{table.split('.')[0]}._stage_{table.split('.')[-1]}"
-    lake.drop(staged)
-    lake.ensure(staged, spec)
-    written = lake.overwrite(staged, df)
-    lake.drop(table)
-    lake.ensure(table, spec)
-    try:
-        lake.overwrite(table, lake.read(staged))
-    finally:
-        lake.drop(staged)
-    return written.rows
-
-
 def run_tests(lake: Lakehouse, model: Model) -> list[str]:
     """What the model's tests found, one line per failing test."""
     if not model.tests or model.materialization == EPHEMERAL:

@@ -90,7 +90,7 @@ class Lakehouse:
         namespace, name = self._parts(table)
         return f"{self.root}/{namespace}.db/{name}/v-{uuid.uuid4().hex}"
 
-    def create(self, table: str, spec: TableSpec) -> None:
+    def create(self, table: str, spec: TableSpec, location: str | None = None) -> None:
         """An empty table; partition expressions become derived columns."""
         S.checked(spec.schema)
         empty = self.spark.createDataFrame([], spec.schema)
@@ -103,9 +103,11 @@ class Lakehouse:
         self.create_namespace(namespace)
         # Columns stay nullable in storage, as every write mode may add NULLs later.
         nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in columns])
+        home = location or self._new_location(table)
+        self._filesystem(home).mkdirs(self._path(home))
         self.spark.sql(
             f"CREATE TABLE {quoted(namespace, name)} ({S.ddl(nullable)}) USING parquet {by} "
-            f"LOCATION '{self._new_location(table)}' "
+            f"LOCATION '{home}' "
             f"TBLPROPERTIES ('{SPEC_PROPERTY}' = '{stored}', 'parquet.compression' = '{CODEC}')"
         )
 
@@ -180,14 +182,21 @@ class Lakehouse:
         ready = conform(df, spec.schema, on_error)
         return with_partitions(ready, list(spec.partition_by))
 
-    def _insert(self, df: DataFrame, table: str, names: list[str], overwrite: bool, dynamic: bool = False) -> None:
-        spec = self.spec(table)
+    def _insert(self, df: DataFrame, table: str, names: list[str], overwrite: bool) -> None:
+        """Append, or replace exactly the partitions that ``df`` has rows for."""
         name = quoted(*self._parts(table))
-        order = self.spark.table(name).columns
-        arranged = laid_out(df, names, list(spec.sort_by)).select(*[F.col(f"`{c}`") for c in order])
-        writer = arranged.write.mode("overwrite" if overwrite else "append")
-        writer = writer.option("compression", CODEC)
-        writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static").insertInto(name)
+        arranged = laid_out(df, names, list(self.spec(table).sort_by))
+        self._write_into(arranged, name, overwrite)
+
+    def _write_into(self, df: DataFrame, name: str, overwrite: bool) -> None:
+        columns = ", ".join(quoted(c) for c in self.spark.table(name).columns)
+        verb = "OVERWRITE" if overwrite else "INTO"
+        # The mode is set for this statement alone, not for the session.
+        self.spark.sql(
+            f"INSERT {verb} {name} WITH ('partitionOverwriteMode' = 'dynamic', "
+            f"'compression' = '{CODEC}') SELECT {columns} FROM {{rows}}",
+            rows=df,
+        )
 
     def _publish(self, df: DataFrame, table: str) -> None:
         """Write a new version of an unpartitioned table and point the catalog at it."""
@@ -224,7 +233,7 @@ class Lakehouse:
         ready, names = self._prepared(df, table, on_error)
         watched, seen = self._watched(ready, self.spec(table).schema.names, cursor)
         if names:
-            self._insert(watched, table, names, overwrite=True)
+            self._swap(table, self.spec(table), watched, names)
         else:
             self._publish(watched, table)
         return self._written(table, seen, schema_changed)
@@ -282,24 +291,56 @@ class Lakehouse:
         merged = merge_frames(
             target.join(touched, same, "left_semi"), batch, keys, order_by, null_safe
         )
-        # A partition whose last row moved away must end up empty: it is not
-        # among the merged rows, so a dynamic overwrite would leave it alone.
         merged.write.mode("overwrite").option("compression", CODEC).parquet(stage + "-merged")
         rows = self.spark.read.schema(merged.schema).parquet(stage + "-merged")
-        vacated = touched.join(
-            rows.select(*part).distinct(), same, "left_anti"
-        ).collect()  # at most one row per partition of the table
-        self._insert(rows, table, names, overwrite=True, dynamic=True)
+        # A partition whose last row moved away must end up empty: it is not
+        # among the merged rows, so the overwrite would leave it alone.
+        vacated = touched.join(rows.select(*part).distinct(), same, "left_anti").collect()
+        self._insert(rows, table, names, overwrite=True)
+        self._drop_partitions(table, names, [[r[f"_p_{n}"] for n in names] for r in vacated])
+
+    def _swap(self, table: str, spec: TableSpec, df: DataFrame, names: list[str]) -> None:
+        """Build the table anew beside the old one, then take its place.
+
+        The rows are complete before the old table goes; only between the two
+        catalog steps is the name missing.
+        """
+        namespace, name = self._parts(table)
+        staged = f"{namespace}.{STAGING_PREFIX}{name}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {quoted(*self._parts(staged))}")
+        self.create(staged, spec, location=self._new_location(table))
+        self._insert(df, staged, names, overwrite=False)
+        self.spark.sql(f"DROP TABLE IF EXISTS {quoted(namespace, name)}")
+        self.spark.sql(
+            f"ALTER TABLE {quoted(*self._parts(staged))} RENAME TO {quoted(namespace, name)}"
+        )
+
+    def replace(self, table: str, spec: TableSpec, df: DataFrame) -> int:
+        """A table with exactly these columns and rows in place of the old one, if any."""
+        widened, names = with_partitions(conform(df, spec.schema), list(spec.partition_by))
+        watched, seen = self._watched(widened, spec.schema.names, None)
+        self._swap(table, spec, watched, names)
+        return int(seen.get["rows"])
+
+    def _drop_partitions(self, table: str, names: list[str], values: list[list]) -> None:
+        """Remove partitions, at most all of the table, with their files."""
         name = quoted(*self._parts(table))
-        for row in vacated:
-            values = ", ".join(f"{quoted(n)} = {_literal(row[f'_p_{n}'])}" for n in names)
-            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({values})")
+        for one in values:
+            spec = ", ".join(f"{quoted(n)} = {_literal(v)}" for n, v in zip(names, one))
+            where = self.spark.sql(f"DESCRIBE FORMATTED {name} PARTITION ({spec})").collect()
+            folder = next(r["data_type"] for r in where if r["col_name"] == "Location")
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+            self._delete(folder)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _filesystem(self, path: str):
+        """The Hadoop file system of a path: tables may live on any of them."""
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        system.delete(where, True)
+        self._filesystem(path).delete(self._path(path), True)
 
     # ------------------------------------------------------------ maintenance
 
@@ -358,20 +399,19 @@ class Lakehouse:
         spread = placed.repartition(total, F.col("_folder"), salt).select(*columns)
         order = [*names, *self.spec(table).sort_by]
         # The new files are complete before the old partitions are replaced.
-        spread.sortWithinPartitions(*[F.col(f"`{c}`") for c in order]).write.mode(
-            "overwrite"
-        ).option("compression", CODEC).option("partitionOverwriteMode", "dynamic").insertInto(name)
+        self._write_into(
+            spread.sortWithinPartitions(*[F.col(f"`{c}`") for c in order]), name, overwrite=True
+        )
         return True
 
     def drop_old_versions(self, table: str) -> int:
         """Delete version folders the catalog no longer points at; returns how many."""
         current = self.location(table).rstrip("/").rsplit("/", 1)[-1]
         namespace, name = self._parts(table)
-        jvm = self.spark.sparkContext._jvm
-        home = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{namespace}.db/{name}")
-        system = home.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        home = f"{self.root}/{namespace}.db/{name}"
+        system = self._filesystem(home)
         old = [
-            s.getPath() for s in system.listStatus(home) if s.getPath().getName() != current
+            s.getPath() for s in system.listStatus(self._path(home)) if s.getPath().getName() != current
         ]
         for path in old:
             system.delete(path, True)

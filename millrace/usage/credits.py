@@ -100,45 +100,44 @@ def burn_credits(
         )
 
     marks = stretches(credit, "grant").unionByName(stretches(debt, "charge"))
-    marks = balanced_slices(marks, ["tenant_id"], "_at", rows_per_slice=rows_per_slice)
-    # The stretch that is open at a mark is the last one of its kind to begin.
-    inside = Window.partitionBy("tenant_id", "_slice").orderBy("_at", "_grant", "_charge").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    carried = marks.groupBy(
-        F.col("tenant_id").alias("_t"), F.col("_slice").alias("_s")
-    ).agg(
+    marks = balanced_slices(marks, "tenant_id", "_at", rows_per_slice=rows_per_slice)
+    # The stretch that is open at a mark is the last one of its kind to begin;
+    # inside a slice a window finds it, before the slice the slices' own lasts do.
+    kinds = ("_grant", "_charge")
+    lasts = marks.groupBy("tenant_id", "_slice").agg(
         *[
             F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_at", f"{c}.end"))).alias(f"{c}_last")
-            for c in ("_grant", "_charge")
+            for c in kinds
         ]
     )
-    slices = Window.partitionBy("_t").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(
-        "_t",
-        "_s",
-        *[
-            F.last(f"{c}_last", ignorenulls=True).over(slices).alias(f"{c}_open")
-            for c in ("_grant", "_charge")
-        ],
+    slices = Window.partitionBy("tenant_id").orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = lasts.select(
+        "tenant_id",
+        "_slice",
+        *[F.last(f"{c}_last", ignorenulls=True).over(slices).alias(f"{c}_open") for c in kinds],
     )
-    placed = marks.join(
-        carried, F.col("tenant_id").eqNullSafe(F.col("_t")) & (F.col("_slice") == F.col("_s")), "left"
+    inside = (
+        Window.partitionBy("tenant_id", "_slice")
+        .orderBy("_at", *kinds)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    open_now = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"{c}_open"))
-        for c in ("_grant", "_charge")
-    }
-    pieces = placed.select(
-        "tenant_id", "_at", open_now["_grant"].alias("_g"), open_now["_charge"].alias("_c")
+    pieces = marks.join(carried, ["tenant_id", "_slice"]).select(
+        "tenant_id",
+        "_at",
+        *[
+            F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"{c}_open")).alias(f"{c}_now")
+            for c in kinds
+        ],
     )
-    burned = money.amount(F.least("_g.end", "_c.end") - F.col("_at"))
+    burned = money.amount(F.least("_grant_now.end", "_charge_now.end") - F.col("_at"))
     return (
-        pieces.filter(F.col("_g").isNotNull() & F.col("_c").isNotNull())
+        pieces.filter("_grant_now IS NOT NULL AND _charge_now IS NOT NULL")
         .select(
             "tenant_id",
-            F.col("_g.id").alias("grant_id"),
-            F.col("_c.id").alias("charge_id"),
+            F.col("_grant_now.id").alias("grant_id"),
+            F.col("_charge_now.id").alias("charge_id"),
             burned.alias("burned_usd"),
         )
         .filter(F.col("burned_usd") > 0)
