@@ -30,23 +30,28 @@ def cell_text(raw: Column) -> Column:
     return F.when(~F.lower(text).isin(NULL_WORDS), text)
 
 
-def _digits(text: Column) -> Column:
+def number_text(text: Column) -> Column:
     """Lower case, with underscores between digits removed (``1_000``)."""
-    return F.regexp_replace(F.lower(text), "(?<=[0-9])_(?=[0-9])", "")
+    low = F.lower(text)
+    return F.when(low.contains("_"), F.regexp_replace(low, "(?<=[0-9])_(?=[0-9])", "")).otherwise(low)
 
 
-def cell_kind(raw: Column) -> Column:
-    """Which of ``KINDS`` the cell is."""
-    text = cell_text(raw)
+def text_kind(text: Column) -> Column:
+    """Which of ``KINDS`` an already trimmed cell is."""
     return (
         F.when(text.isNull(), F.lit("null"))
         .when(F.lower(text).isin(TRUTH_WORDS), F.lit("boolean"))
         .when(text.rlike(WHOLE_PATTERN), F.lit("whole"))
-        .when(_digits(text).rlike(NUMBER_PATTERN), F.lit("number"))
+        .when(number_text(text).rlike(NUMBER_PATTERN), F.lit("number"))
         .otherwise(F.lit("text"))
     )
 
 
+def cell_kind(raw: Column) -> Column:
+    """Which of ``KINDS`` the cell is."""
+    return text_kind(cell_text(raw))
+
+
 def cell_boolean(raw: Column) -> Column:
     text = F.lower(cell_text(raw))
     return F.when(text == "true", F.lit(True)).when(text == "false", F.lit(False))
@@ -58,5 +63,5 @@ def cell_whole(raw: Column) -> Column:
 
 
 def cell_number(raw: Column) -> Column:
-    text = _digits(cell_text(raw))
+    text = number_text(cell_text(raw))
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.cells import NUMBER_PATTERN, WHOLE_PATTERN, number_text
 from millrace.schema import kind_of
 
 #: Numbers above this are epoch milliseconds, not seconds (fixed value).
@@ -69,10 +70,15 @@ def to_time(value: Column, kind: str) -> Column:
 def to_whole(value: Column, kind: str, target: str) -> Column:
     """Truncating; whole text is read exactly, never through a double."""
     if kind == "string":
+        # A failing cast is slow, so a text is cast only when its shape fits.
         text = F.btrim(value)
-        return F.coalesce(
-            text.try_cast("bigint"), text.try_cast("double").try_cast("bigint")
-        ).try_cast(target)
+        truncated = text.try_cast("double").try_cast("bigint")
+        return (
+            F.when(text.rlike("^[+-]?[0-9]{1,18}$"), text.cast("bigint"))
+            .when(text.rlike(WHOLE_PATTERN), F.coalesce(text.try_cast("bigint"), truncated))
+            .when(F.lower(text).rlike(NUMBER_PATTERN), truncated)
+            .try_cast(target)
+        )
     if kind == "boolean" or kind in _NUMERIC:
         return value.try_cast("bigint").try_cast(target) if kind != "long" else value.try_cast(target)
     return F.lit(None).cast(target)
@@ -80,8 +86,8 @@ def to_whole(value: Column, kind: str, target: str) -> Column:
 
 def to_float(value: Column, kind: str, target: str) -> Column:
     if kind == "string":
-        digits = F.regexp_replace(F.btrim(value), "(?<=[0-9])_(?=[0-9])", "")
-        return digits.try_cast(target)
+        plain = number_text(F.btrim(value))
+        return F.when(plain.rlike(NUMBER_PATTERN), plain.try_cast(target))
     if kind == "boolean" or kind in _NUMERIC:
         return value.cast(target)
     return F.lit(None).cast(target)

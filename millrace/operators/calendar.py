@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.once import computed_once
+
 # Named schedules, the bounds of the five fields, month and day names.
 NAMED = {
     "@yearly": "0 0 1 1 *",
@@ -74,24 +76,21 @@ def parsed_schedules(schedules: DataFrame, expression: str = "cron") -> DataFram
     read once, however many schedules share it.
     """
     texts = schedules.select(F.col(f"`{expression}`").alias("_text")).distinct()
-    fields = texts.select("_text", _five_fields(F.col("_text")).alias("_fields"))
+    fields = computed_once(texts, _fields=_five_fields(F.col("_text")))
     # A wrong number of fields makes every set NULL.
-    parts = fields.select(
-        "_text",
-        *[
-            F.when(F.size("_fields") == 5, F.get("_fields", F.lit(i))).alias(f"_f{i}")
-            for i in range(5)
-        ],
+    five = F.size("_fields") == 5
+    parts = computed_once(
+        fields, **{f"_f{i}": F.when(five, F.get("_fields", F.lit(i))) for i in range(5)}
     )
     # Both day fields restricted: either may match.  ``?`` counts as ``*``.
     either = ~F.col("_f2").isin("*", "?") & ~F.col("_f4").isin("*", "?")
-    sets = parts.select(
-        "_text",
-        *[_values(F.col(f"_f{i}"), i).alias(name) for i, name in enumerate(FIELDS)],
-        either.alias("either_day"),
+    sets = computed_once(
+        parts,
+        **{name: _values(F.col(f"_f{i}"), i) for i, name in enumerate(FIELDS)},
+        either_day=either,
     )
     every = F.expr(" AND ".join(f"{name} IS NOT NULL" for name in FIELDS))
-    parsed = sets.select("*", every.alias("valid"))
+    parsed = sets.select("_text", *FIELDS, "either_day", every.alias("valid"))
     return schedules.join(
         parsed, F.col(f"`{expression}`").eqNullSafe(F.col("_text")), "left"
     ).drop("_text")

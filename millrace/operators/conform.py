@@ -28,22 +28,29 @@ def cell_profile(df: DataFrame) -> DataFrame:
     One pass: each task adds up ``columns × kinds`` counters and only those
     counters leave it.
     """
-    counters = []
-    for name in df.columns:
-        cell = F.col(f"`{name}`").cast("string")
-        kind = cells.cell_kind(cell)
-        whole = cells.cell_whole(cell)
-        wide = (kind == "whole") & (
-            whole.isNull() | (whole < F.lit(_INT_MIN)) | (whole > F.lit(_INT_MAX))
-        )
-        counters.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                *[F.count_if(kind == k).alias(f"{k}_cells") for k in cells.KINDS],
-                F.count_if(wide).alias("wide_cells"),
-            )
+    numbered = list(enumerate(df.columns))
+    # Trim, then classify, then count: each step once per cell.
+    texts = df.select(
+        *[cells.cell_text(F.col(f"`{name}`").cast("string")).alias(f"t{i}") for i, name in numbered]
+    )
+    kinds = texts.select(
+        *[F.col(f"t{i}") for i, _ in numbered],
+        *[cells.text_kind(F.col(f"t{i}")).alias(f"k{i}") for i, _ in numbered],
+    )
+
+    def counters(i: int, name: str) -> Column:
+        kind, whole = F.col(f"k{i}"), F.col(f"t{i}").try_cast("bigint")
+        # Inside a CASE, so that only whole numbers are cast at all.
+        wide = F.when(
+            kind == "whole", F.coalesce(~whole.between(_INT_MIN, _INT_MAX), F.lit(True))
+        ).otherwise(F.lit(False))
+        return F.struct(
+            F.lit(name).alias("column"),
+            *[F.sum((kind == k).cast("bigint")).alias(f"{k}_cells") for k in cells.KINDS],
+            F.sum(wide.cast("bigint")).alias("wide_cells"),
         )
-    one_row = df.agg(F.array(*counters).alias("profile"))
+
+    one_row = kinds.agg(F.array(*[counters(i, name) for i, name in numbered]).alias("profile"))
     return one_row.select(F.inline("profile"))
 
 
@@ -149,35 +156,36 @@ def conform(df: DataFrame, schema: T.StructType, on_error: str = "fail") -> Data
     """
     if on_error not in ("fail", "null", "quarantine"):
         raise SchemaError(f"unknown on_error: {on_error}")
+    # First every cell as its new type beside the old one, then the verdict on it:
+    # in two steps, so that no cell is converted twice.
+    read: list[Column] = []
     out: list[Column] = []
     bad: list[Column] = []
-    for target in schema.fields:
+    for i, target in enumerate(schema.fields):
         source = _source(df, target.name)
+        named = {"metadata": target.metadata}
         if source is None:
-            out.append(F.lit(None).cast(target.dataType).alias(target.name))
+            out.append(F.lit(None).cast(target.dataType).alias(target.name, **named))
+            continue
+        raw, value = F.col(f"_raw{i}"), F.col(f"_new{i}")
+        original = F.col(f"`{source.name}`")
+        if source.dataType == target.dataType:
+            read.append(original.alias(f"_new{i}"))
+            out.append(value.alias(target.name, **named))
             continue
-        raw = F.col(f"`{source.name}`")
-        value = coerce(raw, source, target)
-        if source.dataType != target.dataType:
-            wrong = is_bad(raw, value)
-            if on_error == "fail":
-                shown = F.concat(F.lit(f"column {target.name} cannot hold: "), raw.cast("string"))
-                value = F.when(wrong, F.raise_error(shown).cast(target.dataType)).otherwise(value)
-            elif on_error == "quarantine":
-                bad.append(
-                    F.when(
-                        wrong,
-                        F.struct(
-                            F.lit(target.name).alias("column"),
-                            raw.cast("string").alias("value"),
-                        ),
-                    )
-                )
-        out.append(value.alias(target.name, metadata=target.metadata))
+        read += [original.alias(f"_raw{i}"), coerce(original, source, target).alias(f"_new{i}")]
+        wrong = is_bad(raw, value)
+        if on_error == "fail":
+            shown = F.concat(F.lit(f"column {target.name} cannot hold: "), raw.cast("string"))
+            value = F.when(wrong, F.raise_error(shown).cast(target.dataType)).otherwise(value)
+        elif on_error == "quarantine":
+            cell = F.struct(F.lit(target.name).alias("column"), raw.cast("string").alias("value"))
+            bad.append(F.when(wrong, cell))
+        out.append(value.alias(target.name, **named))
     if on_error == "quarantine":
         listed = F.filter(F.array(*bad), lambda c: c.isNotNull()) if bad else F.array()
         out.append(listed.cast(_BAD_TYPE).alias(BAD_CELLS))
-    return df.select(*out)
+    return df.select(*read).select(*out) if read else df.select(*out)
 
 
 def split_quarantine(conformed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups with more rows than this are cut into slices.
+LARGE_GROUP = 1_000_000
+
+
+def with_slices(
+    df: DataFrame, by: Sequence[str], slice_by: Column, large_above: int = LARGE_GROUP
+) -> DataFrame:
+    """Adds ``_key`` (the group) and ``_slice``: only large groups have more than one slice.
+
+    The large groups are found by a count that every task does for its own rows
+    first.  They are broadcast: there can be no more of them than all rows
+    divided by ``large_above``, about a million for a trillion rows.  Both new
+    columns are structs, so a missing group or slice value equals itself.
+    """
+    keyed = df.select("*", F.struct(*[F.col(f"`{c}`") for c in by]).alias("_key"))
+    large = (
+        keyed.groupBy("_key")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > large_above)
+        .select(F.col("_key").alias("_large"))
+    )
+    cut = F.when(F.col("_large").isNotNull(), slice_by)
+    return keyed.join(F.broadcast(large), F.col("_key") == F.col("_large"), "left").select(
+        *[F.col(f"`{c}`") for c in keyed.columns], F.struct(cut.alias("at")).alias("_slice")
+    )
+
+
 def running_total(
     df: DataFrame,
     by: Sequence[str],
@@ -15,11 +42,12 @@ def running_total(
     amount: str,
     out: str,
     slice_by: Column | None = None,
+    large_above: int = LARGE_GROUP,
 ) -> DataFrame:
     """``out`` = sum of ``amount`` over this and all earlier rows of the group.
 
     With ``slice_by`` (which must not decrease along ``order_by``, such as the
-    day of the time that orders the rows) a group is cut into slices: each
+    day of the time that orders the rows) a large group is cut into slices: each
     slice is summed on its own, and the sums of the slices before it are added.
     A group with a third of all rows is then spread over as many tasks as it
     has slices; only one row per slice is ever ordered across the whole group.
@@ -29,55 +57,24 @@ def running_total(
             Window.unboundedPreceding, Window.currentRow
         )
         return df.withColumn(out, F.sum(amount).over(whole))
-    # The group as one struct: it is never NULL itself, so rows and slice sums
-    # join by plain equality and share the partitioning of the window.
-    key = F.struct(*[F.col(f"`{c}`") for c in by]).alias("_key")
-    sliced = df.select("*", key, slice_by.alias("_slice"))
-    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = (
-        sliced.groupBy("_key", "_slice")
-        .agg(F.sum(amount).alias("_sum"))
-        .select("_key", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    )
+    sliced = with_slices(df, by, slice_by, large_above)
+    before = slice_starts(sliced, "_key", amount)
     inside = Window.partitionBy("_key", "_slice").orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     total = F.sum(amount).over(inside) + F.col("_before")
+    # Rows and slice sums are joined on the columns the window is split by.
     return sliced.join(before, ["_key", "_slice"]).select(
         *[F.col(f"`{c}`") for c in df.columns], total.alias(out)
     )
 
 
-def balanced_slices(
-    df: DataFrame, by: str, position: str, out: str = "_slice", rows_per_slice: int = 1_000_000
-) -> DataFrame:
-    """Cuts every large group into slices of about equal size along ``position``.
-
-    The cuts are approximate quantiles; they only decide which task does what,
-    never the result, because any non-decreasing slice number will do.  Groups
-    up to ``rows_per_slice`` stay whole and get slice 0; only the few larger
-    ones, at most all rows divided by that number, are looked at for cuts.
-    """
-    place = F.col(position).cast("double")
-    large = (
-        df.groupBy(F.col(by).alias("_c_by"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_slice)
-        .select("_c_by")
-    )
-    fractions = F.array(*[F.lit(i / 64) for i in range(1, 64)])
-    cuts = (
-        df.join(large, F.col(by) == F.col("_c_by"))
-        .groupBy("_c_by")
-        .agg(F.percentile_approx(place, fractions, 1000).alias("_cuts"))
-    )
-    number = F.size(F.filter("_cuts", lambda cut: cut <= place))
-    return df.join(cuts, F.col(by) == F.col("_c_by"), "left").select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(number).alias(out),
-    )
+def slice_starts(sliced: DataFrame, by: str, amount: str) -> DataFrame:
+    """``by, _slice, _before``: the sum of all earlier slices of the group."""
+    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy(by, "_slice").agg(F.sum(amount).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
+    return sums.select(by, "_slice", before.alias("_before"))
 
 
 def idle_sessions(df: DataFrame, by: Sequence[str], at: str, timeout_seconds: int) -> DataFrame:

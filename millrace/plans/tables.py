@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -267,37 +267,40 @@ class Lakehouse:
             if not names:
                 self._publish(merge_frames(target, batch, keys, order_by, null_safe), table)
             else:
-                self._upsert_partitions(table, target, batch, keys, order_by, null_safe, names, stage)
+                self._upsert_partitions(table, target, batch, keys, order_by, null_safe, names)
         finally:
             self._delete(stage)
-            self._delete(stage + "-merged")
         return self._written(table, seen, schema_changed)
 
     def _upsert_partitions(
-        self, table, target, batch, keys, order_by, null_safe, names, stage
+        self,
+        table: str,
+        target: DataFrame,
+        batch: DataFrame,
+        keys: Sequence[str],
+        order_by: Sequence[str],
+        null_safe: bool,
+        names: list[str],
     ) -> None:
         """Merge and replace only partitions that hold an incoming key, old or new."""
         sign = "<=>" if null_safe else "="
         key_match = F.expr(" AND ".join(f"`{k}` {sign} `_in_{k}`" for k in keys))
         incoming = batch.select(*[F.col(f"`{k}`").alias(f"_in_{k}") for k in keys]).distinct()
         part = [F.col(f"`{n}`") for n in names]
-        touched = (
-            target.join(incoming, key_match, "left_semi").select(*part)
-            .unionByName(batch.select(*part))
-            .distinct()
-            .select(*[F.col(f"`{n}`").alias(f"_p_{n}") for n in names])
-        )
-        same = F.expr(" AND ".join(f"`{n}` <=> `_p_{n}`" for n in names))
-        merged = merge_frames(
-            target.join(touched, same, "left_semi"), batch, keys, order_by, null_safe
-        )
-        merged.write.mode("overwrite").option("compression", CODEC).parquet(stage + "-merged")
-        rows = self.spark.read.schema(merged.schema).parquet(stage + "-merged")
-        # A partition whose last row moved away must end up empty: it is not
-        # among the merged rows, so the overwrite would leave it alone.
-        vacated = touched.join(rows.select(*part).distinct(), same, "left_anti").collect()
-        self._insert(rows, table, names, overwrite=True)
-        self._drop_partitions(table, names, [[r[f"_p_{n}"] for n in names] for r in vacated])
+        # One row per partition of the table at most.
+        left = set(map(tuple, target.join(incoming, key_match, "left_semi").select(*part).distinct().collect()))
+        entered = set(map(tuple, batch.select(*part).distinct().collect()))
+        pruned = target.filter(_in_partitions(names, left | entered))
+        merged = merge_frames(pruned, batch, keys, order_by, null_safe)
+        # A partition that rows only leave may end up empty; then the overwrite,
+        # which replaces partitions that have rows, would leave the old ones.
+        gone: list[tuple] = []
+        if left - entered:
+            old = target.filter(_in_partitions(names, left - entered))
+            alive = old.join(incoming, key_match, "left_anti").select(*part).distinct().collect()
+            gone = sorted(left - entered - set(map(tuple, alive)), key=repr)
+        self._insert(merged, table, names, overwrite=True)
+        self._drop_partitions(table, names, gone)
 
     def _swap(self, table: str, spec: TableSpec, df: DataFrame, names: list[str]) -> None:
         """Build the table anew beside the old one, then take its place.
@@ -322,7 +325,7 @@ class Lakehouse:
         self._swap(table, spec, watched, names)
         return int(seen.get["rows"])
 
-    def _drop_partitions(self, table: str, names: list[str], values: list[list]) -> None:
+    def _drop_partitions(self, table: str, names: list[str], values: Sequence[tuple]) -> None:
         """Remove partitions, at most all of the table, with their files."""
         name = quoted(*self._parts(table))
         for one in values:
@@ -448,6 +451,23 @@ class Lakehouse:
         return self.spark.catalog.getTable(".".join(quoted(p) for p in self._parts(table))).tableType == "VIEW"
 
 
+#: Beyond this many partitions nearly all are touched, and a list would not prune.
+MANY_PARTITIONS = 2000
+
+
+def _in_partitions(names: list[str], values: set[tuple]) -> Column:
+    """A condition on partition columns that prunes the scan when it is planned."""
+    if len(values) > MANY_PARTITIONS:
+        return F.lit(True)
+    out = F.lit(False)
+    for one in values:
+        same = F.lit(True)
+        for name, value in zip(names, one):
+            same = same & F.col(f"`{name}`").eqNullSafe(F.lit(value))
+        out = out | same
+    return out
+
+
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import identifiers, temporal
 from millrace.operators import calendar
+from millrace.operators.once import computed_once
 from millrace.plans.sync import latest_checkpoints, records_per_run
 from millrace.plans.sync import run_rollup as rollup_runs
 from millrace.queries import inputs as I
@@ -249,7 +250,8 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit('{"type":"UNHEARD_OF"}'))
         .alias("value")
     )
-    return records.unionByName(other).unionByName(states).unionByName(noise)
+    lines = records.unionByName(other).unionByName(states).unionByName(noise)
+    return computed_once(lines.withColumnRenamed("value", "_v"), value=F.col("_v")).select("value")
 
 
 @query(

@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources.files import _path
 from millrace.operators.conform import conform
+from millrace.operators.once import computed_once
+from millrace.sources.files import _path
 
 # The message types.
 MESSAGE_TYPES = ["RECORD", "STATE", "LOG", "SPEC", "CONNECTION_STATUS", "CATALOG", "TRACE"]
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("doc", path, "string")
+#: A message line; the parts that differ between connectors stay variants.
+MESSAGE = """type STRING,
+    record STRUCT<stream: STRING, namespace: STRING, emitted_at: BIGINT, data: VARIANT>,
+    state STRUCT<stream: STRING, data: VARIANT>,
+    log VARIANT, spec VARIANT, catalog VARIANT, trace VARIANT,
+    connectionStatus VARIANT, connection_status VARIANT"""
 
 
 def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -27,35 +32,24 @@ def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
     Works on batch and streaming frames.  ``data`` (a variant) is the record or
     the state; ``payload`` is the part of the other types.
     """
-    text = F.btrim(F.col(column), F.lit(" \t\r\n"))
-    docs = lines.filter(text.startswith("{")).select(F.try_parse_json(text).alias("doc"))
-    kind = _text("$.type")
-    part = F.when(kind == "RECORD", F.try_variant_get("doc", "$.record", "variant")).when(
-        kind == "STATE", F.try_variant_get("doc", "$.state", "variant")
-    )
-    status = F.coalesce(
-        F.try_variant_get("doc", "$.connectionStatus", "variant"),
-        F.try_variant_get("doc", "$.connection_status", "variant"),
-    )
-    payload = F.when(kind == "CONNECTION_STATUS", status)
-    for name in ("log", "spec", "catalog", "trace"):
-        payload = payload.when(kind == name.upper(), F.try_variant_get("doc", f"$.{name}", "variant"))
-    known = docs.filter(kind.isin(MESSAGE_TYPES)).select(
-        kind.alias("type"), part.alias("part"), payload.alias("payload")
+    texts = lines.select(F.btrim(F.col(column), F.lit(" \t\r\n")).alias("text"))
+    messages = texts.filter(F.col("text").startswith("{"))
+    parsed = computed_once(messages, message=F.from_json("text", MESSAGE)).select("message.*")
+    names = ", ".join(f"'{t}'" for t in MESSAGE_TYPES)
+    # A record that names no stream belongs to nobody.
+    known = parsed.filter(
+        f"type IN ({names}) AND (type <> 'RECORD' OR record.stream IS NOT NULL)"
     )
-    inside = lambda name, as_type: F.try_variant_get("part", f"$.{name}", as_type)
-    out = known.select(
+    return known.selectExpr(
         "type",
-        inside("stream", "string").alias("stream"),
-        inside("namespace", "string").alias("namespace"),
-        F.when(
-            F.col("type") == "RECORD", F.coalesce(inside("emitted_at", "bigint"), F.lit(0))
-        ).alias("emitted_at"),
-        inside("data", "variant").alias("data"),
-        "payload",
+        "CASE type WHEN 'RECORD' THEN record.stream WHEN 'STATE' THEN state.stream END AS stream",
+        "CASE type WHEN 'RECORD' THEN record.namespace END AS namespace",
+        "CASE type WHEN 'RECORD' THEN coalesce(record.emitted_at, 0) END AS emitted_at",
+        "CASE type WHEN 'RECORD' THEN record.data WHEN 'STATE' THEN state.data END AS data",
+        "CASE type WHEN 'CONNECTION_STATUS' THEN coalesce(connectionStatus, connection_status) "
+        "WHEN 'LOG' THEN log WHEN 'SPEC' THEN spec WHEN 'CATALOG' THEN catalog "
+        "WHEN 'TRACE' THEN trace END AS payload",
     )
-    # A record that names no stream belongs to nobody.
-    return out.filter((F.col("type") != "RECORD") | F.col("stream").isNotNull())
 
 
 def stream_records(

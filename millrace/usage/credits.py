@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.running import balanced_slices, running_total
+from millrace.operators.running import LARGE_GROUP, running_total, slice_starts, with_slices
 from millrace.usage import money
 from millrace.usage.pricing import best_tier_sql, tier_array
 
@@ -60,7 +60,11 @@ def credit_balance(grants: DataFrame, as_of: Column) -> DataFrame:
 
 
 def burn_credits(
-    grants: DataFrame, charges: DataFrame, as_of: Column, rows_per_slice: int = 1_000_000
+    grants: DataFrame,
+    charges: DataFrame,
+    as_of: Column,
+    slice_by: str = "day",
+    large_above: int = LARGE_GROUP,
 ) -> DataFrame:
     """``tenant_id, grant_id, charge_id, burned_usd``: oldest credit first.
 
@@ -68,76 +72,104 @@ def burn_credits(
     date.  Both are laid end to end on one money axis per tenant: a grant and a
     charge meet where their stretches overlap.  The stretches are merged along
     the axis instead of compared pair by pair, so the work and the output are
-    linear in grants plus charges.  A tenant with very many of them is cut into
-    slices of the axis; what is open at the start of a slice is carried into it.
+    linear in grants plus charges.
+
+    The axis of a tenant with more than ``large_above`` charges is cut where a
+    new ``slice_by`` period of its charges begins, so a tenant with a third of
+    all charges is spread over as many tasks as it has periods.
     """
     expiry = F.coalesce(F.col("expires_at").cast("timestamp"), F.lit(NEVER).cast("timestamp"))
     credit = active_grants(grants, as_of).select(
         "tenant_id",
         F.struct(expiry, F.col("granted_at"), F.col("grant_id")).alias("_order"),
-        F.date_trunc("month", expiry).alias("_month"),
-        F.col("grant_id").alias("_id"),
+        F.date_trunc(slice_by, expiry).alias("_period"),
+        F.col("grant_id").cast("string").alias("_id"),
         F.col("remaining_usd").alias("_usd"),
     )
-    debt = charges.filter(F.col("amount_usd") > 0).select(
+    owed = charges.filter("amount_usd > 0 AND tenant_id IS NOT NULL").select(
         "tenant_id",
         F.struct("charged_at", "charge_id").alias("_order"),
-        F.date_trunc("month", "charged_at").alias("_month"),
-        F.col("charge_id").alias("_id"),
+        F.date_trunc(slice_by, "charged_at").alias("_period"),
+        F.col("charge_id").cast("string").alias("_id"),
         money.amount(F.col("amount_usd")).alias("_usd"),
     )
+    debt = with_slices(owed, ["tenant_id"], F.col("_period"), large_above)
+    nothing = F.lit(None).cast("struct<end:decimal(24,8),id:string>")
 
-    def stretches(frame: DataFrame, kind: str) -> DataFrame:
-        ends = running_total(frame, ["tenant_id"], ["_order"], "_usd", "_end", F.col("_month"))
-        stretch = F.struct(
-            F.col("_id").cast("string").alias("id"), money.amount(F.col("_end")).alias("end")
-        )
-        return ends.select(
+    # Charges, each with the place on the axis where its period begins as its slice.
+    starts = slice_starts(debt, "tenant_id", "_usd").withColumn("_before", money.amount(F.col("_before")))
+    period = Window.partitionBy("tenant_id", "_slice").orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    until = money.amount(F.sum("_usd").over(period) + F.col("_before")).alias("end")
+    placed_charges = (
+        debt.join(starts, ["tenant_id", "_slice"])
+        .select("tenant_id", "_before", "_usd", F.struct(until, F.col("_id").alias("id")).alias("_charge"))
+        .select(
             "tenant_id",
-            money.amount(F.col("_end") - F.col("_usd")).alias("_at"),
-            F.when(F.lit(kind == "grant"), stretch).alias("_grant"),
-            F.when(F.lit(kind == "charge"), stretch).alias("_charge"),
+            F.col("_before").alias("_cut"),
+            money.amount(F.col("_charge.end") - F.col("_usd")).alias("_at"),
+            nothing.alias("_grant"),
+            "_charge",
         )
-
-    marks = stretches(credit, "grant").unionByName(stretches(debt, "charge"))
-    marks = balanced_slices(marks, "tenant_id", "_at", rows_per_slice=rows_per_slice)
-    # The stretch that is open at a mark is the last one of its kind to begin;
-    # inside a slice a window finds it, before the slice the slices' own lasts do.
-    kinds = ("_grant", "_charge")
-    lasts = marks.groupBy("tenant_id", "_slice").agg(
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_at", f"{c}.end"))).alias(f"{c}_last")
-            for c in kinds
-        ]
     )
-    slices = Window.partitionBy("tenant_id").orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
+
+    # Grants, each in the slice its stretch begins in.
+    ends = running_total(credit, ["tenant_id"], ["_order"], "_usd", "_end", F.col("_period"), large_above)
+    cuts = starts.groupBy("tenant_id").agg(F.sort_array(F.collect_list("_before")).alias("_cuts"))
+    begin = money.amount(F.col("_end") - F.col("_usd"))
+    placed_grants = (
+        ends.select(
+            "tenant_id",
+            begin.alias("_at"),
+            F.struct(money.amount(F.col("_end")).alias("end"), F.col("_id").alias("id")).alias("_grant"),
+        )
+        .join(cuts, "tenant_id")
+        .select(
+            "tenant_id",
+            F.array_max(F.expr("filter(_cuts, c -> c <= _at)")).alias("_cut"),
+            "_at",
+            "_grant",
+            nothing.alias("_charge"),
+        )
     )
-    carried = lasts.select(
+
+    # A charge begins at every cut, but a grant may reach into a slice from
+    # before: the last one to begin earlier is put at the cut as well.
+    lasts = placed_grants.groupBy("tenant_id", "_cut").agg(F.max_by("_grant", "_at").alias("_last"))
+    slices = starts.select("tenant_id", F.col("_before").alias("_cut"))
+    earlier = Window.partitionBy("tenant_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.join(lasts, ["tenant_id", "_cut"], "left").select(
         "tenant_id",
-        "_slice",
-        *[F.last(f"{c}_last", ignorenulls=True).over(slices).alias(f"{c}_open") for c in kinds],
+        "_cut",
+        F.col("_cut").alias("_at"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_grant"),
+        nothing.alias("_charge"),
+    )
+
+    marks = placed_charges.unionByName(placed_grants).unionByName(
+        carried.filter(F.col("_grant").isNotNull())
     )
-    inside = (
-        Window.partitionBy("tenant_id", "_slice")
-        .orderBy("_at", *kinds)
+    # What is open at a mark is the last of each kind to begin; at one place the
+    # grant that ends there comes before the one that begins.
+    so_far = (
+        Window.partitionBy("tenant_id", "_cut")
+        .orderBy("_at", "_grant", "_charge")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    pieces = marks.join(carried, ["tenant_id", "_slice"]).select(
+    pieces = marks.select(
         "tenant_id",
         "_at",
-        *[
-            F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"{c}_open")).alias(f"{c}_now")
-            for c in kinds
-        ],
+        F.last("_grant", ignorenulls=True).over(so_far).alias("_grant"),
+        F.last("_charge", ignorenulls=True).over(so_far).alias("_charge"),
     )
-    burned = money.amount(F.least("_grant_now.end", "_charge_now.end") - F.col("_at"))
+    burned = money.amount(F.least("_grant.end", "_charge.end") - F.col("_at"))
     return (
-        pieces.filter("_grant_now IS NOT NULL AND _charge_now IS NOT NULL")
+        pieces.filter("_grant IS NOT NULL AND _charge IS NOT NULL")
         .select(
             "tenant_id",
-            F.col("_grant_now.id").alias("grant_id"),
-            F.col("_charge_now.id").alias("charge_id"),
+            F.col("_grant.id").alias("grant_id"),
+            F.col("_charge.id").alias("charge_id"),
             burned.alias("burned_usd"),
         )
         .filter(F.col("burned_usd") > 0)
