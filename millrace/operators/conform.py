@@ -128,7 +128,9 @@ def json_profile(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.col("shape").rlike("^(OBJECT|ARRAY)"), F.lit("json"))
         .otherwise(F.lit("string"))
     )
-    return entries.groupBy("column").agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
+    # Made distinct first: every task is left with a few rows per key.
+    found = entries.select("column", kind.alias("kind")).distinct()
+    return found.groupBy("column").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def infer_json(lines: DataFrame, column: str = "value") -> T.StructType:

@@ -387,8 +387,8 @@ def query_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month's bill projected from noon of the 16th: half of January is over."""
     as_of = F.lit(I.AS_OF).cast("timestamp")
-    so_far = I.usage_events(spark, sf_dir).filter(F.col("occurred_at") <= as_of)
-    used = summary.summarize(so_far).drop("providers", "events")
+    so_far = I.usage_events(spark, sf_dir).filter(F.col("occurred_at") <= as_of.cast("timestamp_ntz"))
+    used = summary.summarize(so_far, providers=False).drop("events")
     card = pricing.RateCard.default(spark)
     bills_now = pricing.price(used, plain_accounts(spark, sf_dir), card)
     return dated(pricing.forecast(bills_now, as_of))

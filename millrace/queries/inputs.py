@@ -176,7 +176,7 @@ SQL_USAGE = f"""
 
 
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summarize(usage_events(spark, sf_dir)).drop("providers", "events")
+    return summary.summarize(usage_events(spark, sf_dir), providers=False).drop("events")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,28 +280,30 @@ def protocol_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, l_linenumber AS line, l_quantity AS quantity
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-    UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE FALSE"""
+    """SELECT l_orderkey AS "order", l_linenumber AS line, l_quantity AS amount FROM lineitem
+    UNION ALL SELECT l_orderkey, -l_linenumber, l_extendedprice FROM lineitem
+    UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders"""
 )
 def json_record_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines nested in an envelope per order, taken out again by their path."""
-    line = F.struct(
-        F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
-        F.col("l_quantity").alias("quantity"),
-    )
+    """Records in envelopes, as lists, as a single object or missing, found by their path."""
     lines = I.table(spark, sf_dir, "lineitem")
-    # An order has a handful of lines, so its list is short.
-    held = lines.groupBy("l_orderkey").agg(F.collect_list(line).alias("items"))
-    envelope = F.to_json(F.struct(F.struct("items").alias("data")))
-    empty = I.table(spark, sf_dir, "orders").select(F.lit('{"data": {}}').alias("value"))
-    texts = held.select(envelope.alias("value")).unionByName(empty)
-    found = explode_records(texts.select(F.parse_json("value").alias("doc")), "data.items")
-    get = lambda path, kind: F.variant_get("doc", path, kind)
-    return found.select(
-        get("$.order", "bigint").alias("o_orderkey"),
-        get("$.line", "int").alias("line"),
-        get("$.quantity", "double").alias("quantity"),
+    orders = I.table(spark, sf_dir, "orders")
+    two = F.array(
+        F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("amount")),
+        F.struct(F.col("l_orderkey").alias("order"), (-F.col("l_linenumber")).alias("line"), F.col("l_extendedprice").alias("amount")),
+    )
+    one = F.struct(F.col("o_orderkey").alias("order"), F.lit(0).alias("line"), F.col("o_totalprice").alias("amount"))
+    texts = (
+        lines.select(F.to_json(F.struct(F.struct(two.alias("items")).alias("data"))).alias("value"))
+        .unionByName(orders.select(F.to_json(F.struct(F.struct(one.alias("items")).alias("data"))).alias("value")))
+        .unionByName(orders.select(F.lit('{"data": {}}').alias("value")))
+    )
+    docs = computed_once(texts, doc=F.parse_json("value")).select("doc")
+    found = explode_records(docs, "data.items")
+    return found.selectExpr(
+        "variant_get(doc, '$.order', 'bigint') AS `order`",
+        "variant_get(doc, '$.line', 'int') AS line",
+        "variant_get(doc, '$.amount', 'double') AS amount",
     )
 
 

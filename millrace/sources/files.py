@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.conform import conform, infer_json, read_cells
+from millrace.operators.once import computed_once
 
 # File endings and the format they mean; anything else is CSV.
 ENDINGS = {".tsv": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json"}
@@ -80,31 +81,41 @@ def read_json_documents(
     or to anything but an object or a list, stops the job.
     """
     text = spark.read.text(path, wholetext=True)
-    return explode_records(text.select(F.parse_json("value").alias("doc")), record_path)
+    docs = computed_once(text, doc=F.parse_json("value")).select("doc")
+    return explode_records(docs, record_path)
 
 
 def explode_records(docs: DataFrame, record_path: str | None = None) -> DataFrame:
     """The records inside a variant column ``doc`` (see ``read_json_documents``)."""
-    place = F.col("doc")
+    place = docs.select(F.col("doc").alias("place"))
     for part in record_path.split(".") if record_path else []:
-        shape = F.schema_of_variant(place)
-        inside = F.try_variant_get(place, _path(part), "variant")
         wrong = F.raise_error(F.lit(f"record path {record_path} does not match the document"))
-        place = (
-            F.when(place.isNull(), F.lit(None).cast("variant"))
-            .when(shape.startswith("OBJECT"), inside)
+        inside = computed_once(
+            place, inside=F.try_variant_get("place", _path(part), "variant")
+        )
+        # What is missing here may be missing in an object, but in nothing else.
+        place = inside.select(
+            F.when(F.col("inside").isNotNull(), F.col("inside"))
+            .when(F.col("place").isNull() | _is_object("place"), F.lit(None).cast("variant"))
             .otherwise(wrong.cast("variant"))
+            .alias("place")
         )
-    found = docs.select(place.alias("found"), F.schema_of_variant(place).alias("shape"))
+    found = computed_once(
+        place.filter(F.col("place").isNotNull()) if record_path else place,
+        listed=F.try_variant_get("place", "$", "array<variant>"),
+    )
     records = (
-        F.when(F.col("found").isNull(), F.array().cast("array<variant>"))
-        .when(F.col("shape").startswith("ARRAY"), F.col("found").cast("array<variant>"))
-        .when(F.col("shape").startswith("OBJECT"), F.array("found"))
+        F.when(F.col("listed").isNotNull(), F.col("listed"))
+        .when(_is_object("place"), F.array("place"))
         .otherwise(F.raise_error(F.lit("no record list in the document")).cast("array<variant>"))
     )
     return found.select(F.explode(records).alias("doc"))
 
 
+def _is_object(column: str) -> Column:
+    return F.schema_of_variant(column).startswith("OBJECT")
+
+
 def read_file(spark: SparkSession, path: str, declared: str = "auto", **options: object) -> DataFrame:
     """Any of the formats, chosen by the file ending unless declared."""
     kind = file_format(path, declared)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.running import LARGE_GROUP, running_total, slice_starts, with_slices
+from millrace.operators.running import LARGE_GROUP, slice_starts, with_slices
 from millrace.usage import money
 from millrace.usage.pricing import best_tier_sql, tier_array
 
@@ -59,6 +59,32 @@ def credit_balance(grants: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def _stretches(frame: DataFrame, kind: str, large_above: int) -> tuple[DataFrame, DataFrame]:
+    """Amounts laid end to end per tenant, and where each slice of a tenant begins.
+
+    ``frame`` has ``tenant_id, _order, _period, _id, _usd``; a stretch is its end
+    on the money axis and its id, and begins at ``_at``.
+    """
+    sliced = with_slices(frame, ["tenant_id"], F.col("_period"), large_above)
+    starts = slice_starts(sliced, "tenant_id", "_usd")
+    inside = Window.partitionBy("tenant_id", "_slice").orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    end = money.amount(F.sum("_usd").over(inside) + F.col("_before"))
+    ended = sliced.join(starts, ["tenant_id", "_slice"]).select(
+        "tenant_id", "_usd", F.struct(end.alias("end"), F.col("_id").alias("id")).alias("_stretch")
+    )
+    marks = ended.select(
+        "tenant_id",
+        money.amount(F.col("_stretch.end") - F.col("_usd")).alias("_at"),
+        *[F.when(F.lit(kind == k), F.col("_stretch")).alias(k) for k in KINDS],
+    )
+    return marks, starts.select("tenant_id", money.amount(F.col("_before")).alias("_cut"))
+
+
+KINDS = ("_grant", "_charge")
+
+
 def burn_credits(
     grants: DataFrame,
     charges: DataFrame,
@@ -74,94 +100,82 @@ def burn_credits(
     the axis instead of compared pair by pair, so the work and the output are
     linear in grants plus charges.
 
-    The axis of a tenant with more than ``large_above`` charges is cut where a
-    new ``slice_by`` period of its charges begins, so a tenant with a third of
-    all charges is spread over as many tasks as it has periods.
+    The axis of a tenant with more than ``large_above`` grants or charges is cut
+    where a new ``slice_by`` period of them begins, so a tenant with a third of
+    them all is spread over as many tasks as it has periods.
     """
     expiry = F.coalesce(F.col("expires_at").cast("timestamp"), F.lit(NEVER).cast("timestamp"))
-    credit = active_grants(grants, as_of).select(
+    credit = active_grants(grants, as_of).filter("tenant_id IS NOT NULL").select(
         "tenant_id",
         F.struct(expiry, F.col("granted_at"), F.col("grant_id")).alias("_order"),
         F.date_trunc(slice_by, expiry).alias("_period"),
         F.col("grant_id").cast("string").alias("_id"),
         F.col("remaining_usd").alias("_usd"),
     )
-    owed = charges.filter("amount_usd > 0 AND tenant_id IS NOT NULL").select(
+    debt = charges.filter("amount_usd > 0 AND tenant_id IS NOT NULL").select(
         "tenant_id",
         F.struct("charged_at", "charge_id").alias("_order"),
         F.date_trunc(slice_by, "charged_at").alias("_period"),
         F.col("charge_id").cast("string").alias("_id"),
         money.amount(F.col("amount_usd")).alias("_usd"),
     )
-    debt = with_slices(owed, ["tenant_id"], F.col("_period"), large_above)
-    nothing = F.lit(None).cast("struct<end:decimal(24,8),id:string>")
-
-    # Charges, each with the place on the axis where its period begins as its slice.
-    starts = slice_starts(debt, "tenant_id", "_usd").withColumn("_before", money.amount(F.col("_before")))
-    period = Window.partitionBy("tenant_id", "_slice").orderBy("_order").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    until = money.amount(F.sum("_usd").over(period) + F.col("_before")).alias("end")
-    placed_charges = (
-        debt.join(starts, ["tenant_id", "_slice"])
-        .select("tenant_id", "_before", "_usd", F.struct(until, F.col("_id").alias("id")).alias("_charge"))
-        .select(
-            "tenant_id",
-            F.col("_before").alias("_cut"),
-            money.amount(F.col("_charge.end") - F.col("_usd")).alias("_at"),
-            nothing.alias("_grant"),
-            "_charge",
-        )
+    grant_marks, grant_cuts = _stretches(credit, "_grant", large_above)
+    charge_marks, charge_cuts = _stretches(debt, "_charge", large_above)
+
+    # Only large tenants have a cut beyond zero, so this holds few rows, each as
+    # long as the calendar.
+    cuts = (
+        grant_cuts.unionByName(charge_cuts)
+        .filter("_cut > 0")
+        .groupBy("tenant_id")
+        .agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
     )
-
-    # Grants, each in the slice its stretch begins in.
-    ends = running_total(credit, ["tenant_id"], ["_order"], "_usd", "_end", F.col("_period"), large_above)
-    cuts = starts.groupBy("tenant_id").agg(F.sort_array(F.collect_list("_before")).alias("_cuts"))
-    begin = money.amount(F.col("_end") - F.col("_usd"))
-    placed_grants = (
-        ends.select(
-            "tenant_id",
-            begin.alias("_at"),
-            F.struct(money.amount(F.col("_end")).alias("end"), F.col("_id").alias("id")).alias("_grant"),
-        )
-        .join(cuts, "tenant_id")
+    zero = F.lit(0).cast(money.AMOUNT)
+    placed = (
+        grant_marks.unionByName(charge_marks)
+        .join(F.broadcast(cuts), "tenant_id", "left")
         .select(
             "tenant_id",
-            F.array_max(F.expr("filter(_cuts, c -> c <= _at)")).alias("_cut"),
+            F.coalesce(F.array_max(F.expr("filter(_cuts, c -> c <= _at)")), zero).alias("_cut"),
             "_at",
-            "_grant",
-            nothing.alias("_charge"),
+            *KINDS,
+            F.col("_cuts").isNotNull().alias("_large"),
         )
     )
 
-    # A charge begins at every cut, but a grant may reach into a slice from
-    # before: the last one to begin earlier is put at the cut as well.
-    lasts = placed_grants.groupBy("tenant_id", "_cut").agg(F.max_by("_grant", "_at").alias("_last"))
-    slices = starts.select("tenant_id", F.col("_before").alias("_cut"))
-    earlier = Window.partitionBy("tenant_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.join(lasts, ["tenant_id", "_cut"], "left").select(
+    # What reaches over a cut from before it is put at the cut as well.
+    lasts = placed.filter("_large").groupBy("tenant_id", "_cut").agg(
+        *[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("_at"))).alias(f"{k}_last") for k in KINDS]
+    )
+    slices = cuts.select(
+        "tenant_id", F.explode(F.concat(F.array(zero), F.col("_cuts"))).alias("_cut")
+    )
+    earlier = Window.partitionBy("tenant_id").orderBy("_cut").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    reaching = slices.join(lasts, ["tenant_id", "_cut"], "left").select(
         "tenant_id",
         "_cut",
         F.col("_cut").alias("_at"),
-        F.last("_last", ignorenulls=True).over(earlier).alias("_grant"),
-        nothing.alias("_charge"),
+        *[F.last(f"{k}_last", ignorenulls=True).over(earlier).alias(k) for k in KINDS],
     )
+    none = F.lit(None).cast(placed.schema["_grant"].dataType)
+    marks = placed.drop("_large")
+    for kind in KINDS:
+        one = reaching.filter(F.col(kind).isNotNull()).select(
+            "tenant_id", "_cut", "_at", *[F.col(k) if k == kind else none.alias(k) for k in KINDS]
+        )
+        marks = marks.unionByName(one)
 
-    marks = placed_charges.unionByName(placed_grants).unionByName(
-        carried.filter(F.col("_grant").isNotNull())
-    )
     # What is open at a mark is the last of each kind to begin; at one place the
-    # grant that ends there comes before the one that begins.
+    # stretch that ends there comes before the one that begins.
     so_far = (
         Window.partitionBy("tenant_id", "_cut")
-        .orderBy("_at", "_grant", "_charge")
+        .orderBy("_at", F.coalesce("_grant.end", "_charge.end"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     pieces = marks.select(
-        "tenant_id",
-        "_at",
-        F.last("_grant", ignorenulls=True).over(so_far).alias("_grant"),
-        F.last("_charge", ignorenulls=True).over(so_far).alias("_charge"),
+        "tenant_id", "_at", *[F.last(k, ignorenulls=True).over(so_far).alias(k) for k in KINDS]
     )
     burned = money.amount(F.least("_grant.end", "_charge.end") - F.col("_at"))
     return (

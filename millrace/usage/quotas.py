@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import dims
 from millrace.functions.temporal import day_end, day_start, hours_in_month, month_end, month_start
 from millrace.usage import money
+from millrace.usage.summary import usage_between
 
 LIMIT = "decimal(20,6)"
 
@@ -77,9 +78,9 @@ def quota_usage(events: DataFrame, as_of: Column) -> DataFrame:
     Storage is metered in GB-months; divided by the elapsed part of the month it
     is GB again.
     """
-    at = F.col("occurred_at")
-    month = events.filter((at >= month_start(as_of)) & (at < month_end(as_of)) & (at <= as_of))
-    today = (at >= day_start(as_of)) & (at < day_end(as_of))
+    at, kind = F.col("occurred_at"), events.schema["occurred_at"].dataType
+    month = usage_between(events, month_start(as_of), month_end(as_of)).filter(at <= as_of.cast(kind))
+    today = (at >= day_start(as_of).cast(kind)) & (at < day_end(as_of).cast(kind))
     sums = []
     for name, meter, period, _ in QUOTAS:
         counted = F.col("meter") == meter
