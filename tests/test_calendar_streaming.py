@@ -7,6 +7,7 @@ from millrace import dims
 from millrace.operators import calendar as K
 from millrace.schema import TableSpec, make_schema
 from millrace.session import scratch_root
+from millrace.sources import protocol
 from millrace.streaming import ingest
 from millrace.streaming.usage import activity_sessions, usage_windows
 
@@ -119,6 +120,16 @@ def test_replays_are_dropped(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/log").select("id")) == [(1,), (2,)]
 
 
+def test_protocol_lines_as_a_stream(spark, tmp_path):
+    text = tmp_path / "in" / "log.txt"
+    text.parent.mkdir()
+    text.write_text('noise\n{"type":"RECORD","record":{"stream":"s","data":{"id":"7"}}}\n{"broken":\n')
+    lines = spark.readStream.text(str(text.parent))
+    records = protocol.stream_records(protocol.parse_messages(lines), "s", make_schema({"id": "long"}))
+    ingest.log_batches(records, f"{tmp_path}/log", f"{tmp_path}/ck").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/log").select("id", "_emitted_at")) == [(7, 0)]
+
+
 def test_streamed_sessions(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     df = spark.createDataFrame([("w", base + dt.timedelta(seconds=s)) for s in (0, 30, 500, 100000)], "who string, at timestamp_ntz")
