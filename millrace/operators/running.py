@@ -108,10 +108,10 @@ def idle_sessions(df: DataFrame, by: Sequence[str], at: str, timeout_seconds: in
     gap = F.unix_micros(F.col("first_at").cast("timestamp")) - F.unix_micros(
         F.lag("last_at").over(along).cast("timestamp")
     )
-    opens = F.when(gap.isNull() | (gap >= width), 1).otherwise(0)
-    numbered = cells.withColumn("_opens", opens).withColumn(
+    opens = F.when(F.col("_gap") < width, 0).otherwise(1)  # the first one has no gap
+    numbered = cells.withColumn("_gap", gap).withColumn(
         "session",
-        F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        F.sum(opens).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     )
     return numbered.groupBy(*by, "session").agg(
         F.min("first_at").alias("started_at"),

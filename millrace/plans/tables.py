@@ -176,16 +176,20 @@ class Lakehouse:
             measures.append(F.max(F.col(f"`{cursor}`")).alias("cursor"))
         return df.observe(seen, *measures), seen
 
-    def _prepared(self, df: DataFrame, table: str, on_error: str) -> tuple[DataFrame, list[str]]:
-        """Conformed rows in the column order of the stored table."""
+    def _prepared(
+        self, df: DataFrame, table: str, on_error: str
+    ) -> tuple[DataFrame, list[str], TableSpec]:
+        """Conformed rows with their partition columns, the columns' names, the table's spec."""
         spec = self.spec(table)
         ready = conform(df, spec.schema, on_error)
-        return with_partitions(ready, list(spec.partition_by))
+        return *with_partitions(ready, list(spec.partition_by)), spec
 
-    def _insert(self, df: DataFrame, table: str, names: list[str], overwrite: bool) -> None:
+    def _insert(
+        self, df: DataFrame, table: str, spec: TableSpec, names: list[str], overwrite: bool
+    ) -> None:
         """Append, or replace exactly the partitions that ``df`` has rows for."""
         name = quoted(*self._parts(table))
-        arranged = laid_out(df, names, list(self.spec(table).sort_by))
+        arranged = laid_out(df, names, list(spec.sort_by))
         self._write_into(arranged, name, overwrite)
 
     def _write_into(self, df: DataFrame, name: str, overwrite: bool) -> None:
@@ -198,10 +202,9 @@ class Lakehouse:
             rows=df,
         )
 
-    def _publish(self, df: DataFrame, table: str) -> None:
+    def _publish(self, df: DataFrame, table: str, spec: TableSpec) -> None:
         """Write a new version of an unpartitioned table and point the catalog at it."""
         location = self._new_location(table)
-        spec = self.spec(table)
         name = quoted(*self._parts(table))
         arranged = laid_out(df, [], list(spec.sort_by)).select(
             *[F.col(f"`{c}`") for c in self.spark.table(name).columns]
@@ -220,9 +223,9 @@ class Lakehouse:
         self, table: str, df: DataFrame, on_error: str = "fail", cursor: str | None = None,
         schema_changed: bool = False,
     ) -> Written:
-        ready, names = self._prepared(df, table, on_error)
-        watched, seen = self._watched(ready, self.spec(table).schema.names, cursor)
-        self._insert(watched, table, names, overwrite=False)
+        ready, names, spec = self._prepared(df, table, on_error)
+        watched, seen = self._watched(ready, spec.schema.names, cursor)
+        self._insert(watched, table, spec, names, overwrite=False)
         return self._written(table, seen, schema_changed)
 
     def overwrite(
@@ -230,12 +233,12 @@ class Lakehouse:
         schema_changed: bool = False,
     ) -> Written:
         """Replace all rows, also by none."""
-        ready, names = self._prepared(df, table, on_error)
-        watched, seen = self._watched(ready, self.spec(table).schema.names, cursor)
+        ready, names, spec = self._prepared(df, table, on_error)
+        watched, seen = self._watched(ready, spec.schema.names, cursor)
         if names:
-            self._swap(table, self.spec(table), watched, names)
+            self._swap(table, spec, watched, names)
         else:
-            self._publish(watched, table)
+            self._publish(watched, table, spec)
         return self._written(table, seen, schema_changed)
 
     def upsert(
@@ -256,18 +259,17 @@ class Lakehouse:
         """
         if not keys:
             return self.append(table, df, on_error, cursor, schema_changed)
-        ready, names = self._prepared(df, table, on_error)
-        columns = self.spec(table).schema.names
-        watched, seen = self._watched(ready, columns, cursor)
+        ready, names, spec = self._prepared(df, table, on_error)
+        watched, seen = self._watched(ready, spec.schema.names, cursor)
         stage = f"{self._new_location(table)}-stage"
         try:
             watched.write.mode("overwrite").option("compression", CODEC).parquet(stage)
             batch = self.spark.read.schema(watched.schema).parquet(stage)
             target = self.spark.table(quoted(*self._parts(table)))
             if not names:
-                self._publish(merge_frames(target, batch, keys, order_by, null_safe), table)
+                self._publish(merge_frames(target, batch, keys, order_by, null_safe), table, spec)
             else:
-                self._upsert_partitions(table, target, batch, keys, order_by, null_safe, names)
+                self._upsert_partitions(table, spec, target, batch, keys, order_by, null_safe, names)
         finally:
             self._delete(stage)
         return self._written(table, seen, schema_changed)
@@ -275,6 +277,7 @@ class Lakehouse:
     def _upsert_partitions(
         self,
         table: str,
+        spec: TableSpec,
         target: DataFrame,
         batch: DataFrame,
         keys: Sequence[str],
@@ -299,7 +302,7 @@ class Lakehouse:
             old = target.filter(_in_partitions(names, left - entered))
             alive = old.join(incoming, key_match, "left_anti").select(*part).distinct().collect()
             gone = sorted(left - entered - set(map(tuple, alive)), key=repr)
-        self._insert(merged, table, names, overwrite=True)
+        self._insert(merged, table, spec, names, overwrite=True)
         self._drop_partitions(table, names, gone)
 
     def _swap(self, table: str, spec: TableSpec, df: DataFrame, names: list[str]) -> None:
@@ -312,7 +315,7 @@ class Lakehouse:
         staged = f"{namespace}.{STAGING_PREFIX}{name}"
         self.spark.sql(f"DROP TABLE IF EXISTS {quoted(*self._parts(staged))}")
         self.create(staged, spec, location=self._new_location(table))
-        self._insert(df, staged, names, overwrite=False)
+        self._insert(df, staged, spec, names, overwrite=False)
         self.spark.sql(f"DROP TABLE IF EXISTS {quoted(namespace, name)}")
         self.spark.sql(
             f"ALTER TABLE {quoted(*self._parts(staged))} RENAME TO {quoted(namespace, name)}"
@@ -384,7 +387,7 @@ class Lakehouse:
             return False
         total = sum(r["parts"] for r in todo)
         if not names:
-            self._publish(self.spark.table(name).repartition(total), table)
+            self._publish(self.spark.table(name).repartition(total), table, self.spec(table))
             return True
         columns = [F.col(f"`{c}`") for c in self.spark.table(name).columns]
         wanted = crowded.select(F.col("folder").alias("_folder"), "parts")

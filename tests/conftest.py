@@ -18,6 +18,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
         .config("spark.checkpoint.dir", str(base / "scratch"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # A few rows per test: compiling code for them takes longer than running it.
+        # ``python -m tests.oracle`` runs the queries with code generation.
+        .config("spark.sql.codegen.wholeStage", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
