@@ -35,6 +35,12 @@ def with_slices(
     )
 
 
+def has_large_group(df: DataFrame, by: Sequence[str], large_above: int = LARGE_GROUP) -> bool:
+    """Whether any group is large; a job that reads the group columns only."""
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    return not counted.filter(F.col("_rows") > large_above).isEmpty()
+
+
 def running_total(
     df: DataFrame,
     by: Sequence[str],

@@ -50,7 +50,8 @@ class Lakehouse:
     # ------------------------------------------------------------- namespaces
 
     def create_namespace(self, namespace: str) -> None:
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(namespace)}")
+        home = f"{self.root}/{namespace}.db"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(namespace)} LOCATION '{home}'")
 
     def namespaces(self) -> list[str]:
         return sorted(d.name for d in self.spark.catalog.listDatabases())

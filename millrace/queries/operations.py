@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -280,29 +280,31 @@ def protocol_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey AS "order", l_linenumber AS line, l_quantity AS amount FROM lineitem
-    UNION ALL SELECT l_orderkey, -l_linenumber, l_extendedprice FROM lineitem
-    UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders"""
+    """SELECT 'order' AS kind, o_orderkey AS key, o_totalprice AS amount FROM orders
+    UNION ALL SELECT 'customer of order', o_custkey, NULL FROM orders
+    UNION ALL SELECT 'part', p_partkey, p_retailprice FROM part"""
 )
 def json_record_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in envelopes, as lists, as a single object or missing, found by their path."""
-    lines = I.table(spark, sf_dir, "lineitem")
-    orders = I.table(spark, sf_dir, "orders")
-    two = F.array(
-        F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("amount")),
-        F.struct(F.col("l_orderkey").alias("order"), (-F.col("l_linenumber")).alias("line"), F.col("l_extendedprice").alias("amount")),
+    orders, parts = I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "part")
+    two = F.expr(
+        "array(named_struct('kind', 'order', 'key', o_orderkey, 'amount', o_totalprice), "
+        "named_struct('kind', 'customer of order', 'key', o_custkey, 'amount', CAST(NULL AS DOUBLE)))"
     )
-    one = F.struct(F.col("o_orderkey").alias("order"), F.lit(0).alias("line"), F.col("o_totalprice").alias("amount"))
+    one = F.expr("named_struct('kind', 'part', 'key', p_partkey, 'amount', p_retailprice)")
+
+    def envelope(items: Column) -> Column:
+        return F.to_json(F.struct(F.struct(items.alias("items")).alias("data"))).alias("value")
+
     texts = (
-        lines.select(F.to_json(F.struct(F.struct(two.alias("items")).alias("data"))).alias("value"))
-        .unionByName(orders.select(F.to_json(F.struct(F.struct(one.alias("items")).alias("data"))).alias("value")))
-        .unionByName(orders.select(F.lit('{"data": {}}').alias("value")))
+        orders.select(envelope(two))
+        .unionByName(parts.select(envelope(one)))
+        .unionByName(parts.select(F.lit('{"data": {}}').alias("value")))
     )
     docs = computed_once(texts, doc=F.parse_json("value")).select("doc")
-    found = explode_records(docs, "data.items")
-    return found.selectExpr(
-        "variant_get(doc, '$.order', 'bigint') AS `order`",
-        "variant_get(doc, '$.line', 'int') AS line",
+    return explode_records(docs, "data.items").selectExpr(
+        "variant_get(doc, '$.kind', 'string') AS kind",
+        "variant_get(doc, '$.key', 'bigint') AS key",
         "variant_get(doc, '$.amount', 'double') AS amount",
     )
 

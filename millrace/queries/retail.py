@@ -11,23 +11,23 @@ from millrace.operators.summaries import share_of_total, suggest_summary
 from millrace.plans.models import EPHEMERAL, INCREMENTAL, TABLE, VIEW, Model, compile_model, materialize
 from millrace.plans.tables import Lakehouse
 from millrace.queries import query
-from millrace.queries.inputs import table
+from millrace.queries.inputs import SCHEMAS, table
 from millrace.session import scratch_path
 
-#: Line grain orders and customers, as views over the test files.
+#: Line grain orders and customers, as views over the test files' tables.
 RAW_VIEWS = {
     "orders": """
         SELECT l_orderkey AS order_id, l_linenumber AS line, o_custkey AS customer_id,
                l_partkey AS sku, p_name AS product, p_brand AS category,
                CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
                CAST(l_extendedprice AS DECIMAL(18,4)) AS amount, o_orderdate AS ordered_at
-        FROM parquet.`{dir}/lineitem.parquet`
-        JOIN parquet.`{dir}/orders.parquet` ON o_orderkey = l_orderkey
-        JOIN parquet.`{dir}/part.parquet` ON p_partkey = l_partkey""",
+        FROM `{raw}`.lineitem
+        JOIN `{raw}`.sales ON o_orderkey = l_orderkey
+        JOIN `{raw}`.part ON p_partkey = l_partkey""",
     "customers": """
         SELECT c_custkey AS customer_id, c_name AS name, n_name AS country
-        FROM parquet.`{dir}/customer.parquet`
-        LEFT JOIN parquet.`{dir}/nation.parquet` ON n_nationkey = c_nationkey""",
+        FROM `{raw}`.customer
+        LEFT JOIN `{raw}`.nation ON n_nationkey = c_nationkey""",
 }
 
 ORDER_FACTS = """
@@ -64,9 +64,19 @@ SQL_FACTS = """facts AS (
 def raw_namespace(spark: SparkSession, sf_dir: str) -> str:
     """A namespace with the raw views of one data folder."""
     name = "raw_" + re.sub("[^a-z0-9]+", "_", sf_dir.lower()).strip("_")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    home = scratch_path(spark, name)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{home}'")
+    if spark.catalog.tableExists(f"`{name}`.`customers`"):
+        return name
+    for file in ("lineitem", "orders", "part", "customer", "nation"):
+        # ``orders`` is the name of the view the models read.
+        table_of = "sales" if file == "orders" else file
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{name}`.`{table_of}` ({SCHEMAS[file]}) "
+            f"USING parquet LOCATION '{sf_dir}/{file}.parquet'"
+        )
     for view, sql in RAW_VIEWS.items():
-        spark.sql(f"CREATE OR REPLACE VIEW `{name}`.`{view}` AS {sql.format(dir=sf_dir)}")
+        spark.sql(f"CREATE OR REPLACE VIEW `{name}`.`{view}` AS {sql.format(raw=name)}")
     return name
 
 
@@ -186,10 +196,10 @@ def incremental_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""
         SELECT o_custkey, count(*) AS orders, max(CAST(o_orderdate AS DATE)) AS last_order,
                CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DECIMAL(18,2)) AS revenue
-        FROM parquet.`{sf_dir}/orders.parquet`
+        FROM `{space}`.sales
         WHERE o_orderdate < {{{{ var('until') }}}}
         {{% if is_incremental() %}}
-          AND o_custkey IN (SELECT o_custkey FROM parquet.`{sf_dir}/orders.parquet`
+          AND o_custkey IN (SELECT o_custkey FROM `{space}`.sales
                             WHERE o_orderdate > (SELECT max(last_order) FROM {{{{ this }}}}))
         {{% endif %}}
         GROUP BY o_custkey

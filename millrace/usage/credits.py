@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.running import LARGE_GROUP, slice_starts, with_slices
+from millrace.operators.running import LARGE_GROUP, has_large_group, slice_starts, with_slices
 from millrace.usage import money
 from millrace.usage.pricing import best_tier_sql, tier_array
 
@@ -59,80 +59,61 @@ def credit_balance(grants: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def _stretches(frame: DataFrame, kind: str, large_above: int) -> tuple[DataFrame, DataFrame]:
-    """Amounts laid end to end per tenant, and where each slice of a tenant begins.
+KINDS = ("_grant", "_charge")
+
+
+def _stretches(frame: DataFrame, kind: str, before: Column, slices: list[str]) -> DataFrame:
+    """Amounts laid end to end per tenant: ``tenant_id, _at, _grant, _charge``.
 
-    ``frame`` has ``tenant_id, _order, _period, _id, _usd``; a stretch is its end
-    on the money axis and its id, and begins at ``_at``.
+    A stretch is its end on the money axis and its id, and begins at ``_at``.
+    ``before`` is the sum of all slices before the row's own.
     """
-    sliced = with_slices(frame, ["tenant_id"], F.col("_period"), large_above)
-    starts = slice_starts(sliced, "tenant_id", "_usd")
-    inside = Window.partitionBy("tenant_id", "_slice").orderBy("_order").rowsBetween(
+    inside = Window.partitionBy("tenant_id", *slices).orderBy("_order").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    end = money.amount(F.sum("_usd").over(inside) + F.col("_before"))
-    ended = sliced.join(starts, ["tenant_id", "_slice"]).select(
+    end = money.amount(F.sum("_usd").over(inside) + before)
+    ended = frame.select(
         "tenant_id", "_usd", F.struct(end.alias("end"), F.col("_id").alias("id")).alias("_stretch")
     )
-    marks = ended.select(
+    return ended.select(
         "tenant_id",
         money.amount(F.col("_stretch.end") - F.col("_usd")).alias("_at"),
         *[F.when(F.lit(kind == k), F.col("_stretch")).alias(k) for k in KINDS],
     )
-    return marks, starts.select("tenant_id", money.amount(F.col("_before")).alias("_cut"))
 
 
-KINDS = ("_grant", "_charge")
-
+def _whole_marks(frame: DataFrame, kind: str) -> DataFrame:
+    """Stretches of tenants that each fit one task; the whole axis is one slice."""
+    zero = F.lit(0).cast(money.AMOUNT)
+    return _stretches(frame, kind, zero, []).select("tenant_id", zero.alias("_cut"), "_at", *KINDS)
 
-def burn_credits(
-    grants: DataFrame,
-    charges: DataFrame,
-    as_of: Column,
-    slice_by: str = "day",
-    large_above: int = LARGE_GROUP,
-) -> DataFrame:
-    """``tenant_id, grant_id, charge_id, burned_usd``: oldest credit first.
 
-    Grants are spent by end date (none is last), then by grant date; charges by
-    date.  Both are laid end to end on one money axis per tenant: a grant and a
-    charge meet where their stretches overlap.  The stretches are merged along
-    the axis instead of compared pair by pair, so the work and the output are
-    linear in grants plus charges.
+def _sliced_marks(frames: dict[str, DataFrame], large_above: int) -> DataFrame:
+    """Stretches with the cut of the axis they begin in, and what reaches over each cut.
 
-    The axis of a tenant with more than ``large_above`` grants or charges is cut
-    where a new ``slice_by`` period of them begins, so a tenant with a third of
-    them all is spread over as many tasks as it has periods.
+    The axis of a large tenant is cut where a new period of its grants or charges
+    begins.  Other tenants have the one cut at zero.
     """
-    expiry = F.coalesce(F.col("expires_at").cast("timestamp"), F.lit(NEVER).cast("timestamp"))
-    credit = active_grants(grants, as_of).filter("tenant_id IS NOT NULL").select(
-        "tenant_id",
-        F.struct(expiry, F.col("granted_at"), F.col("grant_id")).alias("_order"),
-        F.date_trunc(slice_by, expiry).alias("_period"),
-        F.col("grant_id").cast("string").alias("_id"),
-        F.col("remaining_usd").alias("_usd"),
-    )
-    debt = charges.filter("amount_usd > 0 AND tenant_id IS NOT NULL").select(
-        "tenant_id",
-        F.struct("charged_at", "charge_id").alias("_order"),
-        F.date_trunc(slice_by, "charged_at").alias("_period"),
-        F.col("charge_id").cast("string").alias("_id"),
-        money.amount(F.col("amount_usd")).alias("_usd"),
-    )
-    grant_marks, grant_cuts = _stretches(credit, "_grant", large_above)
-    charge_marks, charge_cuts = _stretches(debt, "_charge", large_above)
-
+    zero = F.lit(0).cast(money.AMOUNT)
+    marks, places = [], []
+    for kind, frame in frames.items():
+        sliced = with_slices(frame, ["tenant_id"], F.col("_period"), large_above)
+        starts = slice_starts(sliced, "tenant_id", "_usd")
+        joined = sliced.join(starts, ["tenant_id", "_slice"])
+        marks.append(_stretches(joined, kind, F.col("_before"), ["_slice"]))
+        places.append(starts.select("tenant_id", money.amount(F.col("_before")).alias("_cut")))
     # Only large tenants have a cut beyond zero, so this holds few rows, each as
     # long as the calendar.
     cuts = (
-        grant_cuts.unionByName(charge_cuts)
+        places[0]
+        .unionByName(places[1])
         .filter("_cut > 0")
         .groupBy("tenant_id")
         .agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
     )
-    zero = F.lit(0).cast(money.AMOUNT)
     placed = (
-        grant_marks.unionByName(charge_marks)
+        marks[0]
+        .unionByName(marks[1])
         .join(F.broadcast(cuts), "tenant_id", "left")
         .select(
             "tenant_id",
@@ -142,8 +123,6 @@ def burn_credits(
             F.col("_cuts").isNotNull().alias("_large"),
         )
     )
-
-    # What reaches over a cut from before it is put at the cut as well.
     lasts = placed.filter("_large").groupBy("tenant_id", "_cut").agg(
         *[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("_at"))).alias(f"{k}_last") for k in KINDS]
     )
@@ -160,12 +139,55 @@ def burn_credits(
         *[F.last(f"{k}_last", ignorenulls=True).over(earlier).alias(k) for k in KINDS],
     )
     none = F.lit(None).cast(placed.schema["_grant"].dataType)
-    marks = placed.drop("_large")
+    out = placed.drop("_large")
     for kind in KINDS:
         one = reaching.filter(F.col(kind).isNotNull()).select(
             "tenant_id", "_cut", "_at", *[F.col(k) if k == kind else none.alias(k) for k in KINDS]
         )
-        marks = marks.unionByName(one)
+        out = out.unionByName(one)
+    return out
+
+
+def burn_credits(
+    grants: DataFrame,
+    charges: DataFrame,
+    as_of: Column,
+    slice_by: str = "day",
+    large_above: int = LARGE_GROUP,
+) -> DataFrame:
+    """``tenant_id, grant_id, charge_id, burned_usd``: oldest credit first.
+
+    Grants are spent by end date (none is last), then by grant date; charges by
+    date.  Both are laid end to end on one money axis per tenant: a grant and a
+    charge meet where their stretches overlap.  The stretches are merged along
+    the axis instead of compared pair by pair, so the work and the output are
+    linear in grants plus charges.
+
+    When the plan is made, a count looks for tenants with more than
+    ``large_above`` grants or charges.  If there are any, their axis is cut by
+    ``slice_by`` period, so that a tenant with a third of all rows is spread over
+    as many tasks as it has periods.  The result is the same either way.
+    """
+    expiry = F.coalesce(F.col("expires_at").cast("timestamp"), F.lit(NEVER).cast("timestamp"))
+    credit = active_grants(grants, as_of).filter("tenant_id IS NOT NULL").select(
+        "tenant_id",
+        F.struct(expiry, F.col("granted_at"), F.col("grant_id")).alias("_order"),
+        F.date_trunc(slice_by, expiry).alias("_period"),
+        F.col("grant_id").cast("string").alias("_id"),
+        F.col("remaining_usd").alias("_usd"),
+    )
+    debt = charges.filter("amount_usd > 0 AND tenant_id IS NOT NULL").select(
+        "tenant_id",
+        F.struct("charged_at", "charge_id").alias("_order"),
+        F.date_trunc(slice_by, "charged_at").alias("_period"),
+        F.col("charge_id").cast("string").alias("_id"),
+        money.amount(F.col("amount_usd")).alias("_usd"),
+    )
+    frames = {"_grant": credit, "_charge": debt}
+    if any(has_large_group(f, ["tenant_id"], large_above) for f in frames.values()):
+        marks = _sliced_marks(frames, large_above)
+    else:
+        marks = _whole_marks(credit, "_grant").unionByName(_whole_marks(debt, "_charge"))
 
     # What is open at a mark is the last of each kind to begin; at one place the
     # stretch that ends there comes before the one that begins.
