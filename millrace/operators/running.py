@@ -57,8 +57,9 @@ def running_total(
     slice is summed on its own, and the sums of the slices before it are added.
     A group with a third of all rows is then spread over as many tasks as it
     has slices; only one row per slice is ever ordered across the whole group.
+    Whether there is a large group at all is counted when the plan is made.
     """
-    if slice_by is None:
+    if slice_by is None or not has_large_group(df, by, large_above):
         whole = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )

@@ -22,7 +22,7 @@ from millrace import schema as S
 from millrace.operators.conform import conform
 from millrace.operators.merge import merge_frames
 from millrace.operators.partitioning import laid_out, with_partitions
-from millrace.schema import SchemaError, TableSpec, quoted
+from millrace.schema import TableSpec, quoted
 
 SPEC_PROPERTY = "millrace.spec"
 STAGING_PREFIX = "_stage_"
@@ -495,4 +495,4 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-__all__ = ["Lakehouse", "SchemaError", "Written", "storage_bytes", "write_json_lines", "write_parquet"]
+__all__ = ["Lakehouse", "Written", "storage_bytes", "write_json_lines", "write_parquet"]
