@@ -196,6 +196,7 @@ def sync(
     lake: Lakehouse | None = None,
     max_records: int | None = None,
     run_id: str | None = None,
+    state_namespace: str = "ops",
 ) -> DataFrame:
     """Sync streams of one source; returns the log rows of this run.
 
@@ -204,7 +205,7 @@ def sync(
     harmless.  A stream that fails leaves the others alone.
     """
     lake = lake or Lakehouse(spark)
-    state = SyncState(lake)
+    state = SyncState(lake, state_namespace)
     run = run_id or uuid.uuid4().hex
     chosen = [s.resolved(source) for s in specs]
     left = max_records

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import dims
+from millrace.plans.sync import INCREMENTAL, Stream, SyncSpec, sync
 from millrace.plans.tables import Lakehouse, storage_bytes
 from millrace.queries import inputs as I
 from millrace.queries import query
@@ -15,7 +17,6 @@ from millrace.streaming import ingest
 from millrace.streaming.usage import usage_windows
 from millrace.usage import metering
 from millrace.usage.summary import dashboard
-from millrace import dims
 
 
 def new_lake(spark: SparkSession, purpose: str) -> tuple[Lakehouse, str]:
@@ -40,6 +41,23 @@ def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read(table)
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+def sync_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two incremental syncs: the orders up to 1998, then whatever is new by the checkpoint."""
+    lake, space = new_lake(spark, "sync")
+    orders = I.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"
+    )
+    grown = iter([orders.filter("o_orderdate < TIMESTAMP_NTZ '1998-01-01'"), orders])
+    source = {"orders": Stream("orders", lambda: next(grown), ("o_orderkey",), "o_orderdate")}
+    for _ in range(2):
+        sync(
+            spark, "shop", source, [SyncSpec("orders", INCREMENTAL)], space, lake,
+            state_namespace=f"{space}_state",
+        )
+    return lake.read(f"{space}.orders")
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders")
 def compact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small files per partition, rewritten as one each; the rows stay."""
