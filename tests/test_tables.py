@@ -180,3 +180,13 @@ def test_partition_expressions(spark):
     for wrong in ("shuffle(n)", "bucket(n)", "days(n, ts)", "nothing"):
         with pytest.raises(SchemaError):
             transform_column(df, wrong)
+
+
+def test_a_missing_partition_value_can_be_left(spark, lake):
+    ddl = "id int, p string"
+    lake.ensure("part.n", TableSpec(spark.createDataFrame([], ddl).schema, ("id",), ("p",)))
+    lake.append("part.n", spark.createDataFrame([(1, None), (2, "a")], ddl))
+    lake.upsert("part.n", spark.createDataFrame([(1, "a")], ddl), ["id"])
+    assert rows(lake.read("part.n").select("id", "p")) == [(1, "a"), (2, "a")]
+    lake.upsert("part.n", spark.createDataFrame([(2, None)], ddl), ["id"])
+    assert rows(lake.read("part.n").select("id", "p")) == [(1, "a"), (2, None)]
