@@ -55,10 +55,11 @@ def release(spark: SparkSession) -> None:
     """
     import gc
 
-    gc.collect()
     jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
+    for _ in range(2):  # the second takes what the first one's finalizers let go
+        gc.collect()
+        if jvm is not None:
+            jvm.System.gc()
 
 
 @dataclass
@@ -192,11 +193,12 @@ def answer(
 ) -> DataFrame:
     """Rows (batch, bucket, reply): what ``merge`` says of each key, in the order sent.
 
-    ``merge(keys, values)`` gets all entries of a bucket and gives one reply for each.
+    ``merge(keys, values)`` gets all entries of a bucket, in the order of the
+    batches, and gives one reply for each.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        table = table.sort_by("batch").combine_chunks()
         blobs = [widen(x.as_buffer(), width) for x in table.column("keys")]
         values = np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in table.column("vals")])
         reply = merge(np.concatenate(blobs), values)

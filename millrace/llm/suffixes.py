@@ -12,9 +12,13 @@ the cover, so two equal strings of ``length`` bytes hold equal strings of
    itself; equal neighbours share a rank.
 2. A suffix whose following cover positions all have ranks of their own ties with
    no other to that depth, and is settled.  Only the others can be long ties.
-3. The suffixes that are left are dealt to blocks again, by the fingerprint of
-   their first ``length`` bytes, and each block is sorted by itself.  Neighbours
-   that tie are the repeated strings.
+3. Long ties.  The cover positions of the texts that are left are ranked again,
+   by ``length + period - 1`` bytes.  A tie of two of them settles all suffixes
+   up to the next period at once: each ties with the one at the same distance
+   behind the other position.  The first position of a rank stands for the rest.
+4. The other suffixes, and those behind the first position of a rank, are dealt
+   to blocks by the fingerprint of their first ``length`` bytes, and each block is
+   sorted by itself.  Neighbours that tie are the repeated strings.
 
 Texts can't be read at random across a cluster, so the order inside a block is
 that of 64-bit fingerprints instead of bytes; a wrong tie of two of n strings
@@ -32,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.exchange import (
+    BATCH_ARROW,
+    BATCH_SCHEMA,
     Batch,
     answer,
     apply,
@@ -74,6 +80,15 @@ def _ties(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return is_among(keys, distinct(twice)[0]).astype(np.uint8)
 
 
+def _leaders(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """As ``_ties``, but 2 for the first batch that holds a repeated string."""
+    reply = _ties(keys, values)
+    order = np.argsort(keys, kind="stable")
+    first = order[np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) != 0)]
+    reply[first] *= 2
+    return reply
+
+
 def _samples(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Cover positions with enough text behind them, and their strings' fingerprints."""
     sizes = np.diff(texts.ends)
@@ -170,26 +185,54 @@ def remove_repeats(docs: DataFrame, length: int = 200, texts: bool = True) -> Da
     del ranks
     release(spark)
 
-    # 3. The suffixes that are left, by their first ``length`` bytes.
+    # 3. Cover positions again, by as many bytes as settle a whole period of suffixes.
+    left = settled.select("batch", "ids", "ends", "data", "extra").where(F.octet_length("data") > 0)
+
+    def long_keys(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        return _sorted(_samples(batch.texts, length + PERIOD - 1)[1])
+
+    bits = bucket_bits(total_bytes(left) * len(COVER) / PERIOD)
+    long_ranks = answer(send(left, long_keys, bits, 8), bits, 8, _leaders, np.uint8)
+
+    def settle_periods(batch: Batch, right: pa.Table) -> pa.Table:
+        whole = batch.texts
+        size = len(whole.data)
+        at, keys = _samples(whole, length + PERIOD - 1)
+        found, reply = distinct(keys)[0], replies(right, np.uint8)
+        tied = at[is_among(keys, found[reply > 0])]
+        leads = is_among(keys, found[reply > 1])
+        where = np.unique(keys[leads], return_index=True)[1]
+        lead = at[leads][where]
+        settled_here = _covered(tied, tied + PERIOD, size)
+        asked = _mask(_runs(batch.extra)[0], size) & ~settled_here | _covered(lead, lead + PERIOD, size)
+        extra = _edges(asked), _edges(settled_here)
+        row = packed(batch.number, whole, np.concatenate([[len(extra[0])], *extra]).astype(np.int64).tobytes())
+        return pa.Table.from_pylist([row], schema=BATCH_ARROW)
+
+    periods = stored(apply(left, long_ranks, settle_periods, BATCH_SCHEMA), "suffix-periods")
+    del long_ranks
+    release(spark)
+
+    # 4. The suffixes that are left, by their first ``length`` bytes.
     def suffix_keys(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-        at = _starts(batch)
+        at = _starts(_runs(batch.extra)[0])
         return _sorted(fingerprints(batch.texts.prefix_hashes(), at, at + length))
 
-    left = settled.select("batch", "ids", "ends", "data", "extra").where(F.octet_length("data") > 0)
-    bits = bucket_bits(total_bytes(left))
-    repeats = answer(send(left, suffix_keys, bits, 8), bits, 8, _ties, np.uint8)
+    bits = bucket_bits(total_bytes(periods) / 2)
+    repeats = answer(send(periods, suffix_keys, bits, 8), bits, 8, _ties, np.uint8)
     result_schema = arrow_schema(_RESULT)
 
     def cut(batch: Batch, right: pa.Table) -> pa.Table:
         whole = batch.texts
-        at = _starts(batch)
+        asked, known = _runs(batch.extra)
+        at = _starts(asked)
         keys = fingerprints(whole.prefix_hashes(), at, at + length)
-        at = at[_known(replies(right, np.uint8), keys)]
+        at = np.concatenate([at[_known(replies(right, np.uint8), keys)], _starts(known)])
         gone = _covered(at, at + length, len(whole.data))
         return pa.Table.from_pylist(_result(whole, gone, texts), schema=result_schema)
 
     done = settled.select(F.explode("done").alias("r")).select("r.*")
-    return done.unionByName(apply(left, repeats, cut, _RESULT))
+    return done.unionByName(apply(periods, repeats, cut, _RESULT))
 
 
 def _pick(whole: Texts, chosen: np.ndarray) -> Texts:
@@ -202,12 +245,27 @@ def _pick(whole: Texts, chosen: np.ndarray) -> Texts:
 def _part(batch: Batch, whole: Texts, chosen: np.ndarray, starts: np.ndarray) -> dict:
     """The chosen texts as a batch; ``extra`` has the runs of suffixes to look at."""
     marks = [starts[whole.ends[i] : whole.ends[i + 1]] for i in chosen]
-    marks = np.concatenate(marks) if marks else np.zeros(0, bool)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
-    return packed(batch.number, _pick(whole, chosen), edges.astype(np.int64).tobytes())
+    edges = _edges(np.concatenate(marks) if marks else np.zeros(0, bool))
+    extra = np.concatenate([[len(edges)], edges]).astype(np.int64).tobytes()
+    return packed(batch.number, _pick(whole, chosen), extra)
+
+
+def _edges(marks: np.ndarray) -> np.ndarray:
+    """Where runs of marked places start and stop, in turns."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
+
+
+def _runs(extra: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The two lists of runs that a batch carries."""
+    numbers = np.frombuffer(extra, np.int64)
+    return numbers[1 : 1 + numbers[0]], numbers[1 + numbers[0] :]
+
+
+def _mask(edges: np.ndarray, size: int) -> np.ndarray:
+    return _covered(edges[0::2], edges[1::2], size)
 
 
-def _starts(batch: Batch) -> np.ndarray:
-    edges = np.frombuffer(batch.extra, np.int64).reshape(-1, 2)
-    sizes = edges[:, 1] - edges[:, 0]
-    return np.arange(sizes.sum()) + np.repeat(edges[:, 0] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+def _starts(edges: np.ndarray) -> np.ndarray:
+    """All places in the runs."""
+    first, sizes = edges[0::2], edges[1::2] - edges[0::2]
+    return np.arange(sizes.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
