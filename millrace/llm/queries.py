@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
 from millrace.llm.warc import round_trip
 from millrace.session import apply_settings
@@ -59,3 +60,39 @@ def op2_suffix_dedup(spark, sf_dir):
 def op4_warc_transactions(spark, sf_dir):
     """Pages as WARC transactions, written, read back and assembled."""
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE [array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s
+        FROM w
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (s)
+        WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+    ), e AS (
+        SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 85 * (m.n + o.n - c)
+    ), d AS (
+        SELECT a, b FROM e UNION SELECT b, a FROM e
+    ), r AS (
+        SELECT doc_id AS x, doc_id AS y FROM documents
+        UNION
+        SELECT r.x, d.b FROM r JOIN d ON d.a = r.y
+    )
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, min(y)) AS component_id,
+           doc_id = least(doc_id, min(y)) AS kept
+    FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.x = doc_id
+    GROUP BY doc_id, n.n
+    """
+)
+def op5_setsketch_near_duplicates(spark, sf_dir):
+    """Components of documents that share 85 of 100 shingles of three words."""
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
