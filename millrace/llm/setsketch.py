@@ -7,11 +7,12 @@ registers, and two sets share a register with about the probability of their
 Jaccard similarity.
 
 Equal sets become one class first.  Classes that share a band of registers are
-candidates; within a band's bucket only pairs with the bucket's first class are
-looked at, then, where a bucket still spans several components, its next one, so
-that a group of thousands of copies costs thousands of pairs, not their square.
-The registers' joint likelihood discards hopeless pairs; the rest are
-confirmed on full sets.
+candidates.  Each is compared with the first class of its bucket, which joins
+the thousands of copies in a hot bucket at the cost of thousands of pairs.  Only
+where a bucket still spans several components are the classes outside its
+largest one compared with all the others; there, parity bits of the sets bound
+their difference from below before a pair leaves the join.  The registers' joint
+likelihood discards hopeless pairs; the rest are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ BASE = 1.001
 #: Rate of the exponential values; it keeps sets of a few shingles off the scale's end.
 RATE = 20.0
 TOP = 2**16 - 2
-#: Buckets of at most this many classes are compared pair by pair once the stars are done.
-SMALL_BUCKET = 24
+#: Words of 64 parity bits that bound the difference of two sets.
+PARITIES = 8
 #: A pair is discarded if the threshold is so many nats less likely than the best similarity.
 HOPELESS = 14.0
 
@@ -109,11 +110,20 @@ def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
     return (ceiling >= threshold) & (reach >= best - HOPELESS)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+def parity(members: np.ndarray) -> np.ndarray:
+    """Whether each of ``64 * PARITIES`` parts of the hash space has an odd number of members.
+
+    Two sets differ in at least as many members as parities.
+    """
+    counts = np.bincount((members >> np.uint64(64 - (64 * PARITIES - 1).bit_length())).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits(counts & 1).view(np.int64)
+
+
+_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, parity array<long>"
 
 
 def sketches(docs: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, set size, a 128-bit fingerprint of the set and its registers (null if empty)."""
+    """doc_id, set size, a 128-bit fingerprint of the set, its registers (null if empty) and parities."""
     schema = arrow_schema(_SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +146,7 @@ def sketches(docs: DataFrame, n: int = 3) -> DataFrame:
                         pa.array(sum_a.view(np.int64)),
                         pa.array(sum_b.view(np.int64)),
                         pa.array(blobs, pa.binary()),
+                        pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
                     ],
                     schema=schema,
                 )
@@ -211,61 +222,66 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     classes = stored(
         known.where((F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID))
         .groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity")),
         "classes",
     )
     width = 2 * BAND
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(REGISTERS // BAND)])
-    entries = classes.select("doc_id", F.explode(bands).alias("bucket"))
+    entries = classes.select("doc_id", "n_shingles", "parity", F.explode(bands).alias("bucket"))
     shared = stored(
         entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("lead")).where("size > 1"),
         "buckets",
     )
-    members = stored(entries.join(shared.select("bucket"), "bucket"), "members")
+    members = stored(entries.join(shared.select("bucket", "lead"), "bucket"), "members")
     sets = stored(_full_sets(docs, members.select("doc_id").distinct(), n), "sets")
     release(spark)
 
-    def star(rows: DataFrame, leads: DataFrame) -> DataFrame:
-        found = rows.join(leads, "bucket").where("doc_id != lead")
-        return found.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
-
-    links = stored(_confirmed(star(members, shared.select("bucket", "lead")), classes, sets, percent), "links")
+    stars = members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = stored(_confirmed(stars, classes, sets, percent), "links")
     reached = components(links)
-    members = members.join(shared.select("bucket", "lead"), "bucket").where("doc_id != lead").drop("lead")
-    while True:
-        # Buckets whose classes are not all in one component yet; the first classes are done.
-        labelled = members.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        labelled = stored(labelled, "members")
-        open_buckets = stored(
-            labelled.groupBy("bucket")
-            .agg(
-                F.count(F.lit(1)).alias("size"),
-                F.min("doc_id").alias("lead"),
-                F.min_by("component", "doc_id").alias("lead_component"),
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-            )
-            .where("low != high"),
-            "buckets",
-        )
-        if open_buckets.isEmpty():
-            break
-        left = labelled.join(open_buckets, "bucket")
-        stars = left.where((F.col("size") > SMALL_BUCKET) & (F.col("component") != F.col("lead_component"))).select(
-            F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")
-        )
-        few = stored(left.where(F.col("size") <= SMALL_BUCKET).select("bucket", "doc_id", "component"), "members")
-        other = few.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-        pairs = few.withColumnRenamed("doc_id", "a").join(other, "bucket").where("a < b AND component != other")
-        new = stored(_confirmed(pairs.select("a", "b").union(stars).distinct(), classes, sets, percent), "links")
-        links = stored(links.union(new), "links")
-        if not new.isEmpty():
-            reached = components(links)
-        members = left.where((F.col("size") > SMALL_BUCKET) & (F.col("doc_id") != F.col("lead"))).select(
-            "bucket", "doc_id"
-        )
+
+    # Buckets that still span several components: the classes outside the largest one meet all others.
+    labelled = stored(
+        members.drop("lead")
+        .join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .withColumn("component", F.coalesce("component", "doc_id")),
+        "members",
+    )
+    parts = labelled.groupBy("bucket", "component").count()
+    split = stored(
+        parts.groupBy("bucket")
+        .agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .drop("parts"),
+        "buckets",
+    )
+    rest = stored(labelled.join(split, "bucket"), "members")
+    left = rest.where("component != largest").select(
+        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "parity", "component")]
+    )
+    right = rest.select(
+        "bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "parity", "component", "largest")]
+    )
+    differ = sum(
+        (F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITIES)), F.lit(0)
+    )
+    sizes = F.col("n_shingles_a") + F.col("n_shingles_b")
+    possible = (
+        (F.col("component_a") != F.col("component_b"))
+        # a pair of two classes outside the largest component comes once
+        & ((F.col("component_b") == F.col("largest_b")) | (F.col("doc_id_a") < F.col("doc_id_b")))
+        & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        & (differ * (100 + percent) <= (100 - percent) * sizes)
+    )
+    pairs = (
+        left.alias("l")
+        .join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & possible)
+        .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+        .distinct()
+    )
+    more = stored(_confirmed(pairs, classes, sets, percent), "links")
+    if not more.isEmpty():
+        reached = components(links.union(more))
     reached = stored(
         classes.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "set_a", "set_b", "n_shingles", F.coalesce("component", "doc_id").alias("component")
