@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.outliers import quality_verdicts
 from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
 from millrace.llm.warc import round_trip
@@ -36,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_quality_outliers(spark, sf_dir):
+    """Base rules and robust distances of every document."""
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_suffix_dedup(spark, sf_dir):
     """Strings of 200 bytes that start in two places."""
