@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontaminate import find_leaks
+from millrace.llm.mixing import mixed
 from millrace.llm.outliers import quality_verdicts
 from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
@@ -103,3 +105,15 @@ def op4_warc_transactions(spark, sf_dir):
 def op5_setsketch_near_duplicates(spark, sf_dir):
     """Components of documents that share 85 of 100 shingles of three words."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+@query()
+def op7_simhash_decontamination(spark, sf_dir):
+    """Passages of benchmark items in documents."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_temperature_mixing(spark, sf_dir):
+    """Sources flattened as far as two repetitions allow; every document at least once."""
+    return mixed(table(spark, sf_dir, "documents"), repeats=2.0)
