@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.mixing import mixed
 from millrace.llm.outliers import quality_verdicts
+from millrace.llm.passages import near_passages
 from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
 from millrace.llm.warc import round_trip
@@ -117,3 +118,9 @@ def op7_simhash_decontamination(spark, sf_dir):
 def op9_temperature_mixing(spark, sf_dir):
     """Sources flattened as far as two repetitions allow; every document at least once."""
     return mixed(table(spark, sf_dir, "documents"), repeats=2.0)
+
+
+@query()
+def op10_compact_passages(spark, sf_dir):
+    """Passages of 50 words and more that an earlier document has, nearly or exactly."""
+    return near_passages(table(spark, sf_dir, "documents"))

@@ -295,3 +295,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
         F.when(F.col("doc_id") != NO_ID, F.coalesce("component", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id") == NO_ID, True).otherwise(F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, without those that are linked to one with a smaller doc_id."""
+    verdicts = near_duplicates(docs.select("doc_id", "text"), n, percent)
+    gone = stored(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
