@@ -12,6 +12,7 @@ from millrace.llm.outliers import quality_verdicts
 from millrace.llm.passages import near_passages
 from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
+from millrace.llm.toxicity import toxicity
 from millrace.llm.warc import round_trip
 from millrace.session import apply_settings
 
@@ -124,3 +125,9 @@ def op9_temperature_mixing(spark, sf_dir):
 def op10_compact_passages(spark, sf_dir):
     """Passages of 50 words and more that an earlier document has, nearly or exactly."""
     return near_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_kneser_ney_toxicity(spark, sf_dir):
+    """Toxic against ordinary Kneser-Ney likelihoods of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
