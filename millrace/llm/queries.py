@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.additive import quality
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.mixing import mixed
 from millrace.llm.outliers import quality_verdicts
@@ -131,3 +132,9 @@ def op10_compact_passages(spark, sf_dir):
 def op3_kneser_ney_toxicity(spark, sf_dir):
     """Toxic against ordinary Kneser-Ney likelihoods of every document."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_additive_quality(spark, sf_dir):
+    """Quality of every document by lookup tables."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
