@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.additive import quality
+from millrace.llm.brown import perplexities
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.mixing import mixed
 from millrace.llm.outliers import quality_verdicts
@@ -138,3 +139,9 @@ def op3_kneser_ney_toxicity(spark, sf_dir):
 def op6_additive_quality(spark, sf_dir):
     """Quality of every document by lookup tables."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_brown_perplexity(spark, sf_dir):
+    """Class-based log-probabilities of every document."""
+    return perplexities(table(spark, sf_dir, "documents"))
