@@ -75,11 +75,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> Da
     """
     filed = items.select("item_id", _shingles(F.col("text")).alias("bag"))
     filed = stored(filed.where(F.size("bag") > 0).withColumn("m", F.size("bag")), "items")
-    aligned = stored(filed.select(F.posexplode("bag").alias("offset", "shingle"), "m").distinct(), "items")
+    ahead = filed.select(F.posexplode("bag").alias("offset", "shingle"), "m", "bag")
+    aligned = stored(
+        ahead.select("offset", "shingle", "m", F.get("bag", F.col("offset") - 1).alias("before")).distinct(), "items"
+    )
 
     # One pass over the corpus: shared shingles and the window each aligns.
     texts = docs.select("doc_id", _shingles(F.col("text")).alias("bag"))
-    hits = texts.select("doc_id", "bag", F.posexplode("bag").alias("place", "shingle")).join(aligned, "shingle")
+    # Of a run of shared shingles with one alignment the first is enough.
+    hits = (
+        texts.select("doc_id", "bag", F.posexplode("bag").alias("place", "shingle"))
+        .join(aligned, "shingle")
+        .where(F.col("before").isNull() | ~F.get("bag", F.col("place") - 1).eqNullSafe(F.col("before")))
+    )
     start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.size("bag") - F.col("m")))
     windows = hits.select("doc_id", "m", start.alias("start"), F.slice("bag", start + 1, F.col("m")).alias("bag"))
     windows = stored(windows.withColumn("content", F.xxhash64("bag")).dropDuplicates(["doc_id", "m", "start", "content"]), "windows")
