@@ -21,6 +21,8 @@ SHINGLE = 5
 #: Similarity 0.8 has an expected distance below 10; 15 lies two standard deviations beyond.
 RADIUS = 15
 BYTES = 8
+#: Up to so many item shingles (24 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _shingles(text: Column) -> Column:
@@ -80,6 +82,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> Da
         ahead.select("offset", "shingle", "m", F.get("bag", F.col("offset") - 1).alias("before")).distinct(), "items"
     )
 
+    if aligned.count() <= BROADCAST_ROWS:  # many small files can hide from the planner how small it is
+        aligned = F.broadcast(aligned)
+
     # One pass over the corpus: shared shingles and the window each aligns.
     texts = docs.select("doc_id", _shingles(F.col("text")).alias("bag"))
     # Of a run of shared shingles with one alignment the first is enough.
