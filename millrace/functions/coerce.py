@@ -94,13 +94,22 @@ def to_float(value: Column, kind: str, target: str) -> Column:
 
 
 def to_decimal(value: Column, kind: str, target: T.DecimalType) -> Column:
-    """Rounded half to even at the scale of the column."""
+    """Rounded half to even at the scale of the column, whatever digits stand before the point.
+
+    The cast rounds half away from zero; only exact ties behind an even digit
+    differ, and those are seen in the text.  Text with an exponent is rounded
+    on a finer scale where that has room.
+    """
     if kind not in _NUMERIC and kind != "string":
         return F.lit(None).cast(target)
-    text = F.btrim(value) if kind == "string" else value
-    extra = min(38, 2 * target.scale + 2)
-    fine = text.try_cast("string").try_cast(T.DecimalType(38, extra))
-    return F.bround(fine, target.scale).try_cast(target)
+    text = F.btrim(value) if kind == "string" else value.try_cast("string")
+    scale, wide = target.scale, T.DecimalType(38, target.scale)
+    fine = F.bround(text.try_cast(T.DecimalType(38, min(38, 2 * scale + 2))), scale).try_cast(wide)
+    kept = f"[0-9]*\\.[0-9]{{{scale - 1}}}[02468]" if scale else "[0-9]*[02468]\\.|\\."
+    tie = f"^([+-]?(?:{kept}))50*$"
+    even = F.concat(F.regexp_extract(text, tie, 1), F.lit("0")).try_cast(wide)
+    plain = F.when(text.rlike(tie), even).otherwise(text.try_cast(wide))
+    return F.when(text.rlike("[eE]"), F.coalesce(fine, text.try_cast(wide))).otherwise(plain).try_cast(target)
 
 
 def to_boolean(value: Column, kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 
@@ -46,7 +47,8 @@ def slugify(name: Column) -> Column:
     """A name that is safe as a table name: lower case, digits and single underscores.
 
     A name with nothing usable becomes ``x`` and four hash digits, so equal
-    inputs stay equal.
+    inputs stay equal.  A name that is too long is cut, so whoever writes several
+    tables has to refuse names that became one.
     """
     text = F.trim(F.lower(name))
     joined = F.regexp_replace(text, "[^a-z0-9]+", "_")
@@ -61,6 +63,8 @@ def slugify(name: Column) -> Column:
 def slug(text: str) -> str:
     """``slugify`` for a single name on the driver, such as a stream or model name."""
     bare = re.sub("[^a-z0-9]+", "_", text.strip().lower()).strip("_")
+    if not bare:
+        bare = "x" + hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:4]
     return (f"t_{bare}" if bare[:1].isdigit() else bare)[:NAME_LIMIT].rstrip("_")
 
 

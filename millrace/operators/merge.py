@@ -111,6 +111,13 @@ def since(
     return df.filter(column >= bound if inclusive else column > bound)
 
 
+def cursor_text(value: Column, kind: T.DataType) -> Column:
+    """A cursor value as text that casts back to the same value in any session's or driver's zone."""
+    if isinstance(kind, T.TimestampType):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    return value.cast("string")
+
+
 def high_water(df: DataFrame, cursor: str) -> DataFrame:
     """The highest cursor seen, with its type name; NULL cursors do not count."""
     return df.agg(F.max(F.col(f"`{cursor}`")).alias("cursor_value")).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from millrace import schema as S
 from millrace.functions.identifiers import slug
-from millrace.operators.merge import since
+from millrace.operators.merge import cursor_text, since
 from millrace.plans.tables import Lakehouse, Written
 from millrace.schema import TableSpec
 
@@ -130,7 +131,7 @@ class SyncState:
         self.lake.append(table, frame)
 
     def cursor(self, source: str, stream: str, column: str) -> object | None:
-        """The last committed cursor in its own type; none means a full read."""
+        """The last committed cursor as a literal of its own type; none means a full read."""
         table = f"{self.namespace}.checkpoints"
         if not self.lake.exists(table):
             return None
@@ -144,10 +145,10 @@ class SyncState:
             return None
         return F.lit(row["cursor_value"]).cast(row["cursor_type"])
 
-    def commit(self, source: str, stream: str, column: str, kind: str, value: object, run: str) -> None:
-        text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    def commit(self, source: str, stream: str, column: str, kind: str, value: str, run: str) -> None:
+        """``value`` as text, made by the job that read the rows: the driver's zone plays no part."""
         now = datetime.now(timezone.utc)
-        self._append("checkpoints", CHECKPOINT_SCHEMA, (source, stream, column, kind, text, run, now))
+        self._append("checkpoints", CHECKPOINT_SCHEMA, (source, stream, column, kind, value, run, now))
 
     def log(self, row: tuple) -> None:
         self._append("sync_log", LOG_SCHEMA, row)
@@ -156,12 +157,31 @@ class SyncState:
 # ------------------------------------------------------------------------ syncs
 
 
-def _capped(df: DataFrame, spec: SyncSpec, limit: int | None) -> DataFrame:
-    """At most ``limit`` rows; in cursor order, so the checkpoint covers what was read."""
-    if limit is None:
+def capped_since(df: DataFrame, cursor: str, last: object | None, limit: int) -> DataFrame:
+    """About ``limit`` new rows in cursor order, with all ties of the last one.
+
+    Only rows beyond the checkpoint count, and the replayed boundary comes on
+    top, so every capped read moves on, however many rows share a cursor.  Rows
+    without a cursor come with the first read, since no later one would see them.
+    """
+    column = F.col(f"`{cursor}`")
+    kind = df.schema[cursor].dataType
+    fresh = since(df, cursor, last, inclusive=False).filter(column.isNotNull()).select(column.alias("c"))
+    end = fresh.orderBy("c").limit(limit).agg(
+        F.count(F.lit(1)).alias("n"), cursor_text(F.max("c"), kind).alias("c")
+    ).first()
+    df = since(df, cursor, last)
+    if end["n"] < limit:
         return df
-    if spec.sync_mode == INCREMENTAL and spec.cursor:
-        df = df.orderBy(F.col(f"`{spec.cursor}`").asc_nulls_last())
+    upto = column <= F.lit(end["c"]).cast(kind)
+    return df.filter(upto | column.isNull() if last is None else upto)
+
+
+def _capped(lake: Lakehouse, df: DataFrame, spec: SyncSpec, table: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, which never take the place of a table that has rows."""
+    if spec.write_mode == OVERWRITE and lake.exists(table) and not lake.read(table).isEmpty():
+        if not df.offset(limit).isEmpty():
+            raise SyncError(f"{spec.stream} has more than {limit} rows; a part of them can't replace {table}")
     return df.limit(limit)
 
 
@@ -172,8 +192,12 @@ def sync_stream(
     """Read, evolve the table, write.  Nothing is committed here."""
     df = stream.read()
     if spec.sync_mode == INCREMENTAL:
-        df = since(df, spec.cursor, last, spec.inclusive)
-    df = _capped(df, spec, limit)
+        if limit is None:
+            df = since(df, spec.cursor, last, spec.inclusive)
+        else:
+            df = capped_since(df, spec.cursor, last, limit)
+    elif limit is not None:
+        df = _capped(lake, df, spec, table, limit)
     observed = S.flat(df.schema)
     wanted = S.reconcile(stream.schema, observed)
     changed = lake.ensure(table, TableSpec(wanted, keys=spec.keys))
@@ -202,15 +226,23 @@ def sync(
 
     The checkpoint of a stream is written after its rows are, so a crash in
     between replays rows and never skips any; the keyed write makes the replay
-    harmless.  A stream that fails leaves the others alone.
+    harmless.  A stream that fails leaves the others alone.  Streams that come
+    after ``max_records`` are used up are left as they are, without a log row.
+    Two streams may not share a table.
     """
     lake = lake or Lakehouse(spark)
     state = SyncState(lake, state_namespace)
     run = run_id or uuid.uuid4().hex
     chosen = [s.resolved(source) for s in specs]
+    homes = Counter(slug(s.table) for s in chosen)
+    shared = sorted(n for n, k in homes.items() if k > 1)
+    if shared:
+        raise SyncError(f"several streams would write the tables {shared}")
     left = max_records
     rows = []
     for spec in chosen:
+        if left == 0:
+            break
         stream = source[spec.stream]
         table = f"{namespace}.{slug(spec.table)}"
         started = time.monotonic()

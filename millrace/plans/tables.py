@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from millrace import schema as S
 from millrace.operators.conform import conform
-from millrace.operators.merge import merge_frames
+from millrace.operators.merge import cursor_text, merge_frames
 from millrace.operators.partitioning import laid_out, with_partitions
 from millrace.schema import TableSpec, quoted
 
@@ -174,7 +174,8 @@ class Lakehouse:
             F.coalesce(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in watch])))), F.lit(0)).alias("bytes"),
         ]
         if cursor:
-            measures.append(F.max(F.col(f"`{cursor}`")).alias("cursor"))
+            newest = F.max(F.col(f"`{cursor}`"))
+            measures.append(cursor_text(newest, df.schema[cursor].dataType).alias("cursor"))
         return df.observe(seen, *measures), seen
 
     def _prepared(

@@ -27,7 +27,7 @@ def new_lake(spark: SparkSession, purpose: str) -> tuple[Lakehouse, str]:
 
 @query(
     f"""WITH {SQL_TARGET}, {SQL_CHANGES}, {SQL_NEWEST}
-    SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.o_orderkey = t.o_orderkey)
+    SELECT t.* FROM target t LEFT JOIN newest n ON n.o_orderkey = t.o_orderkey WHERE n.o_orderkey IS NULL
     UNION ALL SELECT * FROM newest"""
 )
 def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,45 @@ def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read(table)
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate
+    FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01'"""
+)
+def sync_date_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor of type DATE: the second sync reads from its checkpoint on, so no order from before the first comes."""
+    lake, space = new_lake(spark, "dates")
+    orders = I.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate")
+    )
+    held = orders.filter("o_orderdate BETWEEN DATE '1995-06-01' AND DATE '1998-01-01'")
+    grown = iter([held, orders])
+    source = {"orders": Stream("orders", lambda: next(grown), ("o_orderkey",), "o_orderdate")}
+    for _ in range(2):
+        sync(
+            spark, "shop", source, [SyncSpec("orders", INCREMENTAL)], space, lake,
+            state_namespace=f"{space}_state",
+        )
+    return lake.read(f"{space}.orders")
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice, date_trunc('year', o_orderdate) AS year FROM orders"""
+)
+def sync_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capped syncs of a cursor with far more ties than the cap: every one moves on a year."""
+    lake, space = new_lake(spark, "capped")
+    orders = I.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice",
+        F.date_trunc("year", "o_orderdate").cast("timestamp_ntz").alias("year"),
+    )
+    source = {"orders": Stream("orders", lambda: orders, ("o_orderkey",), "year")}
+    spec = SyncSpec("orders", INCREMENTAL, max_records=10)
+    years = orders.agg(F.count_distinct("year")).first()[0]
+    for _ in range(years):
+        sync(spark, "shop", source, [spec], space, lake, state_namespace=f"{space}_state")
+    return lake.read(f"{space}.orders")
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
 def sync_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two incremental syncs: the orders up to 1998, then whatever is new by the checkpoint."""

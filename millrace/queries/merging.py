@@ -81,7 +81,7 @@ def batch_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SQL_TARGET}, {SQL_CHANGES}, {SQL_NEWEST}
-    SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.o_orderkey = t.o_orderkey)
+    SELECT t.* FROM target t LEFT JOIN newest n ON n.o_orderkey = t.o_orderkey WHERE n.o_orderkey IS NULL
     UNION ALL SELECT * FROM newest"""
 )
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def upsert_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY o_orderkey
                ORDER BY changed_at DESC, o_custkey DESC, price DESC) AS rn FROM c
       WHERE o_orderkey IS NOT NULL) WHERE rn = 1)
-    SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.o_orderkey = t.o_orderkey)
+    SELECT t.* FROM t LEFT JOIN n ON n.o_orderkey = t.o_orderkey WHERE n.o_orderkey IS NULL
     UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c WHERE o_orderkey IS NULL"""
 )
 def merge_sql_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,27 @@ def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(text, schema, on_error="null")
 
 
+@query(
+    """SELECT o_orderkey, CAST(round_even(CAST(o_totalprice AS DECIMAL(18,4)), 0) AS DECIMAL(38,0)) AS whole,
+              CAST(round_even(CAST(o_totalprice AS DECIMAL(18,4)), 1) AS DECIMAL(38,1)) AS tenths,
+              CAST(o_orderkey * 1000000000000 AS DECIMAL(38,9)) AS large,
+              CAST(o_totalprice AS DECIMAL(38,18)) AS fine, CAST(o_custkey % 100 AS DECIMAL(38,30)) AS finest
+    FROM orders"""
+)
+def coerce_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to decimals of every scale: half to even, and room for all digits the type can hold."""
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("decimal(18,4)").cast("string")
+    text = o.select(
+        "o_orderkey", price.alias("whole"), price.alias("tenths"),
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("000000000000")).alias("large"),
+        price.alias("fine"), (F.col("o_custkey") % 100).cast("string").alias("finest"),
+    )
+    scales = {"whole": 0, "tenths": 1, "large": 9, "fine": 18, "finest": 30}
+    fields = [make_field(n, "decimal", precision=38, scale=s) for n, s in scales.items()]
+    return conform(text, T.StructType([make_field("o_orderkey", "long"), *fields]))
+
+
 @query(
     """SELECT event_id, event_type = 'view' AS by_word, user_id % 2 = 1 AS by_digit,
               value >= 100 AS by_letter, user_id % 3 <> 0 AS by_number,

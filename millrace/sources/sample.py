@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from millrace.session import values_table
 
-# The sample's customers and products.
 CUSTOMERS = """
-  ('acme', 'Acme Corp', 'TH'),
-  ('globex', 'Globex', 'SG'),
-  ('initech', 'Initech', 'TH'),
-  ('umbrella', 'Umbrella', 'MY'),
-  ('stark', 'Stark Industries', 'VN')
+  ('larch', 'Larch Street Bakery', 'DE'),
+  ('fennel', 'Fennel and Sons', 'PT'),
+  ('quayside', 'Quayside Books', 'NL'),
+  ('tallow', 'Tallow Candles', 'DE'),
+  ('heron', 'Heron Bicycles', 'DK')
 """
 PRODUCTS = """
-  (0, 'sku-100', 'Jasmine rice 5kg', 'grocery', 12.50),
-  (1, 'sku-200', 'Cooking oil 1L', 'grocery', 3.20),
-  (2, 'sku-300', 'Detergent 2kg', 'household', 8.75),
-  (3, 'sku-400', 'Instant noodles x30', 'grocery', 6.40),
-  (4, 'sku-500', 'Dish soap 500ml', 'household', 2.10)
+  (0, 'lamp-01', 'Desk lamp', 'lighting', 34.00),
+  (1, 'lamp-02', 'Wall lamp', 'lighting', 51.90),
+  (2, 'rope-10', 'Cotton rope 10m', 'workshop', 7.35),
+  (3, 'nail-06', 'Nails 6cm x200', 'workshop', 4.80),
+  (4, 'vase-03', 'Glass vase', 'household', 18.25)
 """
 
 
@@ -37,7 +36,7 @@ def orders(
         PRODUCTS,
         "_p INT; sku STRING; product STRING; category STRING; unit_price DOUBLE",
     )
-    names = F.array(*[F.lit(n) for n in ("acme", "globex", "initech", "umbrella", "stark")])
+    names = F.array(*[F.lit(n) for n in ("larch", "fennel", "quayside", "tallow", "heron")])
 
     def draw(purpose: str, below: int) -> Column:
         """A number from 0 to ``below`` - 1 that depends on order, seed and purpose only."""

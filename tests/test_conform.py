@@ -149,3 +149,17 @@ def test_result_does_not_depend_on_partitioning(spark):
     schema = S.make_schema({"id": "long", "n": "int", "m": "int"})
     first = rows(C.conform(df.repartition(1), schema, "null"))
     assert first == rows(C.conform(df.repartition(17), schema, "null"))
+
+
+@pytest.mark.parametrize("scale,cases", [
+    (0, {"2.5": "2", "3.5": "4", "-0.5": "0", ".5": "0", "1e2": "100", "12345678901234567890123456789012345678": "12345678901234567890123456789012345678"}),
+    (2, {"0.125": "0.12", "0.1250000001": "0.13", "0.135": "0.14", "-0.125": "-0.12", "x": None}),
+    (9, {"1000000000000000000": "1000000000000000000", "1.5": "1.5"}),
+    (18, {"1.5": "1.5", "12345678901234567890.25": "12345678901234567890.25"}),
+    (30, {"99999999.5": "99999999.5", "999999999": None}),
+])
+def test_decimals_of_every_scale(spark, scale, cases):
+    schema = T.StructType([S.make_field("text", "string"), S.make_field("d", "decimal", precision=38, scale=scale)])
+    df = spark.createDataFrame([(k, k) for k in cases], "text string, d string")
+    found = {r.text: r.d for r in C.conform(df, schema, on_error="null").collect()}
+    assert found == {k: None if v is None else Decimal(v) for k, v in cases.items()}

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 
 from millrace.operators.summaries import last_rows, preview, share_of_total, suggest_summary, top_per_group
@@ -144,3 +146,17 @@ def test_summaries(spark):
     assert sorted(r.order_id for r in top.collect()) == [1, 2]
     share = share_of_total(df, ["country"], "amount", "total", "pct")
     assert {r.country: float(r.pct) for r in share.collect()} == {"TH": 67.4, "SG": 32.6}
+
+
+def test_models_of_one_name_are_refused():
+    with pytest.raises(M.ModelError, match="several models"):
+        M.build_order([M.Model("a", "SELECT 1"), M.Model("A", "SELECT 2")])
+
+
+def test_templates_are_cut_at_their_marks():
+    model = M.Model("m", "SELECT {{ var('d', coalesce(1, 2)) }}, {{ what }} {% raw %}{{ this }}{% if is_incremental() %} X{% endif %};")
+    assert M.compile_model(model) == "SELECT coalesce(1, 2), {{ what }} {% raw %}`analytics`.`m`"
+    assert M.compile_model(model, variables={"d": dt.date(2026, 1, 2)}, incremental=True).endswith("`m` X")
+    assert M.literal(dt.date(2026, 1, 2)) == "DATE '2026-01-02'" and M.literal(1.5) == "1.5"
+    with pytest.raises(M.ModelError, match="no end"):
+        M.parts_of("{% if is_incremental() %} X")

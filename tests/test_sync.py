@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 import pytest
@@ -154,3 +156,49 @@ def test_models_of_a_failed_sync_are_skipped(spark, lake):
         "facts": "skipped", "daily": "skipped", "mix": "skipped",
     }
     assert EPHEMERAL
+
+
+def test_a_cap_smaller_than_the_ties_of_a_cursor_moves_on(spark, lake):
+    data = spark.range(30).select("id", F.floor(F.col("id") / 10).alias("at"))
+    more = data.unionAll(spark.range(100, 102).select("id", F.lit(None).cast("bigint")))
+    source = {"t": Y.Stream("t", lambda: more, ("id",), "at")}
+    spec = Y.SyncSpec("t", Y.INCREMENTAL, max_records=3)
+    counts = []
+    for _ in range(4):
+        Y.sync(spark, "s", source, [spec], "cap1", lake, state_namespace="cap1_ops")
+        counts.append(lake.read("cap1.t").count())
+    assert counts == [12, 22, 32, 32]
+
+
+def test_a_used_up_cap_leaves_later_tables_alone(spark, lake):
+    specs = [Y.SyncSpec("customers"), Y.SyncSpec("orders")]
+    Y.sync(spark, "shop", retail(spark), specs, "cap2", lake)
+    log = logged(Y.sync(spark, "shop", retail(spark), specs, "cap2", lake, max_records=5))
+    assert set(log) == {"customers"} and lake.read("cap2.orders").count() == 50
+    log = logged(Y.sync(spark, "shop", retail(spark), specs, "cap2", lake, max_records=9))
+    assert log["customers"].succeeded and "replace" in log["orders"].error
+    assert lake.read("cap2.orders").count() == 50
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_cursors_do_not_depend_on_the_drivers_zone(spark, lake, monkeypatch, kind):
+    data = spark.sql(f"SELECT id, CAST(timestamp_seconds(1e9 + id * 86400) AS {kind}) AS at FROM range(4)")
+    grown = iter([data.where("id < 2"), data])
+    source = {"t": Y.Stream("t", lambda: next(grown), ("id",), "at")}
+    monkeypatch.setenv("TZ", "Asia/Bangkok")
+    time.tzset()
+    try:
+        for _ in range(2):
+            log = Y.sync(spark, "s", source, [Y.SyncSpec("t", Y.INCREMENTAL)], "zone", lake, state_namespace="zone_ops")
+            assert log.first().succeeded, log.first().error
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert log.first().records == 3 and rows(lake.read("zone.t")) == rows(data)
+
+
+def test_streams_that_would_share_a_table_are_refused(spark, lake):
+    one, two = "x" * 70 + "a", "x" * 70 + "b"
+    source = {n: Y.Stream(n, lambda: spark.range(1)) for n in (one, two)}
+    with pytest.raises(Y.SyncError, match="several streams"):
+        Y.sync(spark, "s", source, [Y.SyncSpec(one), Y.SyncSpec(two)], "same", lake)
