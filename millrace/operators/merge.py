@@ -87,6 +87,11 @@ def merge_frames(
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
+def touched(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target's rows whose key is in the batch; NULL keys are equal to each other."""
+    return target.join(_renamed_keys(batch, keys), _keys_match(keys, True), "left_semi")
+
+
 def _renamed_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys under other names: the batch may be derived from the target."""
     return df.select(*[F.col(f"`{k}`").alias(f"_in_{k}") for k in keys])

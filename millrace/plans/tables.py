@@ -70,14 +70,16 @@ class Lakehouse:
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(".".join(quoted(p) for p in self._parts(table)))
 
-    def read(self, table: str) -> DataFrame:
-        """The rows of a table: its declared columns, without derived partition columns."""
+    def read(self, table: str, derived: bool = False) -> DataFrame:
+        """The rows of a table: its declared columns.
+
+        With ``derived`` the derived partition columns too, for filters that prune partitions.
+        """
         df = self.spark.table(quoted(*self._parts(table)))
         spec = self._stored_spec(table)
-        if spec is None:
+        if spec is None or derived:
             return df
-        derived = [c for c in self._partition_columns(table) if S.find(spec.schema, c) is None]
-        return df.drop(*derived)
+        return df.drop(*[c for c in self._partition_columns(table) if S.find(spec.schema, c) is None])
 
     def tables(self, namespace: str, staging: bool = False) -> list[str]:
         names = [

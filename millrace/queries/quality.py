@@ -77,7 +77,7 @@ def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT o_orderkey, CAST(round_even(CAST(o_totalprice AS DECIMAL(18,4)), 0) AS DECIMAL(38,0)) AS whole,
               CAST(round_even(CAST(o_totalprice AS DECIMAL(18,4)), 1) AS DECIMAL(38,1)) AS tenths,
               CAST(o_orderkey * 1000000000000 AS DECIMAL(38,9)) AS large,
-              CAST(o_totalprice AS DECIMAL(38,18)) AS fine, CAST(o_custkey % 100 AS DECIMAL(38,30)) AS finest
+              CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS DECIMAL(38,18)) AS fine, CAST(o_custkey % 100 AS DECIMAL(38,30)) AS finest
     FROM orders"""
 )
 def coerce_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:

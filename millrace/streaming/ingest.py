@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.merge import last_wins
+from millrace.operators.merge import last_wins, touched
 from millrace.plans.tables import Lakehouse
 
 
@@ -45,10 +45,14 @@ def upsert_stream(
     """Keyed writes of a stream into a table.
 
     Spark may hand over a batch twice after a failure; writing the same keys
-    again changes nothing.
+    again changes nothing.  Files arrive in any order: with ``order_by`` a stored
+    record that is newer than the batch's stays.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if order_by:
+            held = touched(lake.read(table), batch, keys)
+            batch = batch.unionByName(held, allowMissingColumns=True)
         lake.upsert(table, batch, keys, order_by)
 
     return (

@@ -67,6 +67,8 @@ def usage_rows(
 def meter_queries(query_log: DataFrame, sizes: DataFrame) -> DataFrame:
     """Compute of each query: at least one second, none for a cached result.
 
+    A query on a warehouse of unknown size fails the job: it can't go unbilled.
+
     Needs ``query_id, warehouse_id, size, min_clusters, wall_seconds,
     warehouse_seconds, bytes_scanned, cache_hit`` beside the event columns.
     """
@@ -78,7 +80,9 @@ def meter_queries(query_log: DataFrame, sizes: DataFrame) -> DataFrame:
         F.col("wall_seconds")
     )
     seconds = F.greatest(busy, F.lit(dims.MINIMUM_SECONDS)).cast("decimal(18,6)")
-    burn = F.col("ccu_per_minute") * F.greatest(F.col("min_clusters"), F.lit(1))
+    unknown = F.raise_error(F.concat(F.lit("unknown warehouse size: "), F.coalesce("size", F.lit("NULL"))))
+    rate = F.when(F.col("ccu_per_minute").isNull(), unknown).otherwise(F.col("ccu_per_minute"))
+    burn = rate * F.greatest(F.col("min_clusters"), F.lit(1))
     return usage_rows(
         ran,
         dims.COMPUTE,
@@ -215,11 +219,19 @@ def unit_cost_sql(spot: str) -> str:
         ELSE 0.0D END AS {money.RATE})"""
 
 
-def with_unit_cost(events: DataFrame, rates: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Events with the unit cost of their provider, region and meter."""
+def with_unit_cost(
+    events: DataFrame, rates: DataFrame, indexes: DataFrame, strict: bool = False
+) -> DataFrame:
+    """Events with the unit cost of their provider, region and meter.
+
+    A provider without rates has a NULL cost, which sums pass over; where the rows
+    are going to be billed, ``strict`` fails the job instead.
+    """
+    unknown = "raise_error('unknown provider: ' || coalesce(provider, 'NULL'))" if strict else "NULL"
     spot = "coalesce(spot, false)" if "spot" in events.columns else "false"
     return priced_rates(events, rates, indexes).selectExpr(
-        *[f"`{c}`" for c in events.columns], f"{unit_cost_sql(spot)} AS unit_cost_usd"
+        *[f"`{c}`" for c in events.columns],
+        f"IF(vcpu_hour IS NULL, {unknown}, {unit_cost_sql(spot)}) AS unit_cost_usd",
     )
 
 

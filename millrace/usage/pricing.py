@@ -112,6 +112,20 @@ def priced_usage(summary: DataFrame, accounts: DataFrame, card: RateCard) -> Dat
     )
 
 
+def unbilled_usage(summary: DataFrame, accounts: DataFrame, card: RateCard) -> DataFrame:
+    """The lines of ``summary`` that no bill holds, with the ``reason``.
+
+    Together with the lines of the bills these are all lines.
+    """
+    known = F.broadcast(card.plans.select(F.col("plan").alias("_known")))
+    account = accounts.select("tenant_id", F.col("plan").alias("_plan"), F.lit(True).alias("_account"))
+    reason = F.when(F.col("_account").isNull(), "no account").when(F.col("_known").isNull(), "unknown plan")
+    joined = summary.join(account, "tenant_id", "left").join(known, F.expr("_plan = _known"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in summary.columns], reason.alias("reason")).filter(
+        "reason IS NOT NULL"
+    )
+
+
 ACCOUNT_DEFAULTS = {
     "term_months": "0",
     "credits_balance_usd": "CAST(0 AS DECIMAL(24,8))",
@@ -130,7 +144,8 @@ def price(summary: DataFrame, accounts: DataFrame, card: RateCard) -> DataFrame:
     """One row per tenant, period and plan with every amount of the bill.
 
     ``accounts``: ``tenant_id, plan`` and optionally ``term_months,
-    credits_balance_usd, baseline_ccu_per_gb, gb_scanned``.
+    credits_balance_usd, baseline_ccu_per_gb, gb_scanned``.  Usage of a tenant
+    without an account or with an unknown plan has no bill; ``unbilled_usage`` lists it.
     """
     lines = priced_usage(summary, full_accounts(accounts), card)
     account_columns = ["plan", *ACCOUNT_DEFAULTS]
@@ -154,7 +169,7 @@ def price(summary: DataFrame, accounts: DataFrame, card: RateCard) -> DataFrame:
     money_of = lambda expression, name: f"CAST({expression} AS {money.AMOUNT}) AS {name}"
     tier = best_tier_sql("term_months", "tiers", "term_months", "discount")
     # Each amount may use the ones before it in the same select.
-    return base.join(F.broadcast(plan), "plan", "left").selectExpr(
+    return base.join(F.broadcast(plan), "plan").selectExpr(
         "tenant_id",
         "period_start",
         *account_columns,

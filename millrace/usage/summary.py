@@ -23,12 +23,13 @@ def usage_between(
 ) -> DataFrame:
     """Events in ``[start, end)``, optionally of one tenant, meter or workspace.
 
-    A table partitioned by ``days(occurred_at)`` is read for those days only.
+    A table partitioned by ``days(occurred_at)`` is read for those days only, if
+    ``events`` has the day column (``Lakehouse.read(table, derived=True)``).
     """
     low, high = _in_type_of(events, start), _in_type_of(events, end)
     kept = events.filter((F.col("occurred_at") >= low) & (F.col("occurred_at") < high))
     if DAY_COLUMN in events.columns:
-        kept = kept.filter(F.col(DAY_COLUMN).between(F.to_date(start), F.to_date(end)))
+        kept = kept.filter(F.col(DAY_COLUMN).between(F.to_date(start), F.to_date(end))).drop(DAY_COLUMN)
     for column, wanted in (("tenant_id", tenant), ("meter", meter), ("workspace_id", workspace)):
         if wanted is not None:
             kept = kept.filter(F.col(column) == wanted)

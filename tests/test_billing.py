@@ -324,3 +324,13 @@ def test_sizes(spark):
     house = spark.createDataFrame([("m", "tencent", None, False, 2, 0.01)], "size string, provider string, region string, spot boolean, min_clusters int, unit_price_usd double")
     row = sizing.size_costs(house, dims.sizes(spark), dims.rates(spark), dims.region_indexes(spark)).first()
     assert (float(row.infra_usd_per_hour), row.ccu_per_hour, float(row.total_usd_per_hour)) == (0.4944, 960, 10.0944)
+
+
+def test_usage_without_a_bill_is_listed(spark, card):
+    known, lost, odd = (summary(spark, [(dims.COMPUTE, 60, 3)], t) for t in ("t", "lost", "odd"))
+    accounts = spark.createDataFrame([("t", "team"), ("odd", "platinum")], "tenant_id string, plan string")
+    usage = known.unionAll(lost).unionAll(odd)
+    assert [r.tenant_id for r in P.price(usage, accounts, card).collect()] == ["t"]
+    found = P.unbilled_usage(usage, accounts, card)
+    assert rows(found.select("tenant_id", "quantity", "reason")) == [
+        ("lost", D(60), "no account"), ("odd", D(60), "unknown plan")]

@@ -142,3 +142,16 @@ def test_streamed_sessions(spark, tmp_path):
 
 def test_scratch_folder_is_the_configured_one(spark):
     assert scratch_root(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_a_late_file_does_not_bring_older_records_back(spark, lake, tmp_path):
+    schema = make_schema({"id": "long", "v": "string", "seq": "int"})
+    batches = [
+        spark.createDataFrame(data, schema)
+        for data in ([(1, "new", 5), (2, "a", 1), (None, "n", 4)], [(1, "old", 2), (2, "b", 3), (None, "m", 3)], [(1, "mid", 4)])
+    ]
+    folder = landed(spark, f"{tmp_path}/in", batches)
+    lake.ensure("late.t", TableSpec(schema, ("id",)))
+    stream = ingest.read_files(spark, f"{folder}/*", schema, files_per_batch=1)
+    ingest.upsert_stream(stream, lake, "late.t", ["id"], ["seq"], f"{tmp_path}/ck").awaitTermination()
+    assert rows(lake.read("late.t")) == [(1, "new", 5), (2, "b", 3), (None, "n", 4)]

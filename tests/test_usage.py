@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace import dims
 from millrace.functions import identifiers, temporal
 from millrace.operators.running import idle_sessions, running_total
+from millrace.schema import TableSpec
 from millrace.usage import metering, summary
 
 from .conftest import rows
@@ -208,3 +209,25 @@ def test_masking(spark):
     config = F.create_map(*[F.lit(x) for x in ("host", "h", "password", "p", "token", "")])
     masked = spark.range(1).select(identifiers.mask_secrets(config, ["password", "token"])).first()[0]
     assert masked == {"host": "h", "password": "***", "token": ""}
+
+
+def test_periods_of_a_partitioned_log_prune_its_days(spark, lake):
+    events = spark.sql("SELECT id, TIMESTAMP_NTZ '2026-01-01' + make_dt_interval(id) AS occurred_at FROM range(9)")
+    lake.ensure("log.events", TableSpec(events.schema, partition_by=("days(occurred_at)",)))
+    lake.append("log.events", events)
+    kept = summary.usage_between(
+        lake.read("log.events", derived=True), F.lit(dt.datetime(2026, 1, 3)), F.lit(dt.datetime(2026, 1, 5)))
+    assert rows(kept.select("id")) == [(2,), (3,)] and kept.columns == events.columns
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(occurred_at_day" in plan
+
+
+def test_usage_that_can_not_be_priced_fails(spark):
+    log = spark.sql(
+        "SELECT 't' tenant_id, TIMESTAMP_NTZ '2026-01-01' occurred_at, 'q' query_id, 'w' warehouse_id, 'huge' size, "
+        "1 min_clusters, 5 wall_seconds, 0 warehouse_seconds, 1L bytes_scanned, false cache_hit")
+    with pytest.raises(Exception, match="unknown warehouse size: huge"):
+        metering.meter_queries(log, dims.sizes(spark)).collect()
+    events = spark.sql("SELECT 'nowhere' provider, 'r' region, 'ccu' meter, false spot")
+    with pytest.raises(Exception, match="unknown provider: nowhere"):
+        metering.with_unit_cost(events, dims.rates(spark), dims.region_indexes(spark), strict=True).collect()
