@@ -115,7 +115,7 @@ SQL_USAGE_LOG = f"""
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metering.with_unit_cost(
-        usage_log(spark, sf_dir), dims.rates(spark), dims.region_indexes(spark)
+        usage_log(spark, sf_dir), dims.rates(spark), dims.region_indexes(spark), strict=True
     )
 
 
