@@ -135,6 +135,37 @@ def test_passages(docs):
     assert left[3] == ROWS[2][1] and left[1] == ROWS[0][1] and left[2] == "" and left[5] is None
 
 
+def test_passages_against_all_pairs(spark):
+    # later texts share passages of which earlier ones have scattered pieces, beside a line that many have
+    rng = np.random.default_rng(17)
+    line, rows = prose(50, 20), []
+    passages = [prose(60 + k, 70) for k in range(3)]
+    for k, passage in enumerate(passages):
+        w = passage.split()
+        for i in [*range(0, 65, 5), *range(2, 65, 5)]:
+            rows.append(prose(1000 + 100 * k + i, 40) + " " + " ".join(w[i : i + 9]) + " " + prose(2000 + 100 * k + i, 40) + " " + line)
+    for k, passage in enumerate(passages):
+        for copy in range(4):
+            w = passage.split()
+            for at in rng.choice(70, 0 if copy < 2 else 1, replace=False):
+                w[at] = f"changed{k}x{copy}"
+            rows.append(prose(3000 + 10 * k + copy, 25) + " " + line + " " + prose(4000 + 10 * k + copy, 25) + " " + " ".join(w))
+    table = [(i, text, "en", "a", 0) for i, text in enumerate(rows)]
+    found = collections.defaultdict(set)
+    for r in near_passages(spark.createDataFrame(table, COLUMNS).repartition(3)).collect():
+        assert r["other_id"] < r["doc_id"]
+        own, other = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (rows[r["doc_id"]].split()[r["start"] : r["stop"]], rows[r["other_id"]].split()[r["other_start"] : r["other_stop"]]))
+        assert r["similarity"] == pytest.approx(len(own & other) / len(own | other), abs=1e-6) and r["similarity"] >= 0.8
+        found[r["doc_id"]].update(range(r["start"], r["stop"]))
+    first = {}
+    for i, text in enumerate(rows):
+        w = text.split()
+        for at in range(len(w) - 49):
+            window = tuple(w[at : at + 50])
+            if first.setdefault(window, i) < i:
+                assert found[i] >= set(range(at, at + 50)), (i, at)
+
+
 def test_leaks(spark, docs):
     item = " ".join(PASSAGE.split()[10:40])
     items = spark.createDataFrame([(1, item.upper() + "."), (2, prose(77, 30)), (3, None), (4, "too short")], "item_id long, text string")
