@@ -150,6 +150,10 @@ def test_passages_against_all_pairs(spark):
             for at in rng.choice(70, 0 if copy < 2 else 1, replace=False):
                 w[at] = f"changed{k}x{copy}"
             rows.append(prose(3000 + 10 * k + copy, 25) + " " + line + " " + prose(4000 + 10 * k + copy, 25) + " " + " ".join(w))
+    # the first text has a piece of the passage early and all of it later
+    base = prose(70, 52)
+    rows.append(prose(74, 20) + " " + " ".join(base.split()[4:46]) + " " + prose(71, 60) + " " + base + " " + prose(75, 9))
+    rows.append(prose(72, 40) + " " + base)
     table = [(i, text, "en", "a", 0) for i, text in enumerate(rows)]
     found = collections.defaultdict(set)
     for r in near_passages(spark.createDataFrame(table, COLUMNS).repartition(3)).collect():
