@@ -138,7 +138,7 @@ def test_passages(docs):
 def test_passages_against_all_pairs(spark):
     # later texts share passages of which earlier ones have scattered pieces, beside a line that many have
     rng = np.random.default_rng(17)
-    line, rows = prose(50, 20), []
+    line, rows, planted = prose(50, 20), [], []
     passages = [prose(60 + k, 70) for k in range(3)]
     for k, passage in enumerate(passages):
         w = passage.split()
@@ -150,6 +150,7 @@ def test_passages_against_all_pairs(spark):
             for at in rng.choice(70, 0 if copy < 2 else 1, replace=False):
                 w[at] = f"changed{k}x{copy}"
             rows.append(prose(3000 + 10 * k + copy, 25) + " " + line + " " + prose(4000 + 10 * k + copy, 25) + " " + " ".join(w))
+            planted.append((len(rows) - 1, copy))
     # the first text has a piece of the passage early and all of it later
     base = prose(70, 52)
     rows.append(prose(74, 20) + " " + " ".join(base.split()[4:46]) + " " + prose(71, 60) + " " + base + " " + prose(75, 9))
@@ -168,6 +169,9 @@ def test_passages_against_all_pairs(spark):
             window = tuple(w[at : at + 50])
             if first.setdefault(window, i) < i:
                 assert found[i] >= set(range(at, at + 50)), (i, at)
+    for doc_id, copy in planted:
+        # 70 words with one of them changed: 61 to 65 of 66 shingles are shared
+        assert copy == 0 or len(found[doc_id]) >= 50
 
 
 def test_leaks(spark, docs):
