@@ -29,8 +29,9 @@ LEAST_GROUP = 100
 #: Chance of a clean document to lie beyond the cut, were its statistics normal.
 BEYOND = 1e-5
 
-#: Statistic and the least standard deviation (thousandths) that counts as its spread.
-FLOORS = {"x_length": 60, "x_symbols": 120, "x_capitals": 80, "x_repeats": 200}
+#: Statistic and the least standard deviation (thousandths) that counts as its spread: what one
+#: more letter, symbol, capital or repeated line changes in a text of 100 words.
+FLOORS = {"x_length": 2, "x_symbols": 88, "x_capitals": 8, "x_repeats": 88}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -150,7 +151,7 @@ def _factored(moments: DataFrame, names: list[str], keep: list[str], scale: floa
         for j in range(i + 1):
             value = F.col(f"v_{i}_{j}") * scale
             if i == j:
-                value = value + F.lit(float(FLOORS[name] ** 2))
+                value = F.greatest(value, F.lit(float(FLOORS[name] ** 2)))
             for k in range(j):
                 value = value - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
             root = F.sqrt(F.greatest(value, F.lit(1.0))) if i == j else value / F.col(f"c_{j}_{j}")

@@ -14,7 +14,7 @@ import corpus_pipeline
 from millrace.llm import additive, brown, suffixes
 from millrace.llm.decontaminate import find_leaks, without_leaks
 from millrace.llm.mixing import mixed
-from millrace.llm.outliers import quality_verdicts
+from millrace.llm.outliers import fit, judged, quality_verdicts
 from millrace.llm.passages import near_passages, without_passages
 from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
@@ -125,6 +125,32 @@ def test_outliers_are_rejected(spark):
     assert {d for d, kept in found.items() if not kept} == {900, 901}
 
 
+def test_outliers_against_brute_force(spark):
+    # statistics near the cut; symbols and repeats have no spread of their own
+    rng = np.random.default_rng(8)
+    x = np.rint(rng.multivariate_normal([1600, 0, 130, 0], [[1800, 0, 200, 0], [0, 0, 0, 0], [200, 0, 200, 0], [0, 0, 0, 0]], 600)).astype(int)
+    for i in range(40):
+        x[i] += np.array([[10 * i, 0, 0, 0], [0, 20 * i, 0, 0], [0, 0, 4 * i, 0], [0, 0, 0, 20 * i]][i % 4])
+    names = ["x_length", "x_symbols", "x_capitals", "x_repeats"]
+    floors = np.array([2, 88, 8, 88], float)
+    spread = np.maximum((np.percentile(x, 75, axis=0) - np.percentile(x, 25, axis=0)) / 1.349, floors)
+    mean, cov = np.median(x, axis=0), np.diag(spread**2)
+    quantile, consistency = 5.3853, 0.75 / 0.5046  # chi-square of 4 degrees at 0.75; of 6 degrees there
+    for _ in range(3):
+        distance = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
+        near = x[distance <= np.quantile(distance, 0.75)]
+        mean, cov = near.mean(0), np.cov(near.T, bias=True) * consistency
+        cov[np.diag_indices(4)] = np.maximum(np.diag(cov), floors**2)
+    distance = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
+    counted = spark.createDataFrame([(i, "en", "a", False, *map(int, r)) for i, r in enumerate(x)], ["doc_id", "lang", "source", "base_failed", *names])
+    found = {r["doc_id"]: r for r in judged(counted, fit(counted)).collect()}
+    cut = 28.4733  # chi-square of 4 degrees at 1 - 1e-5
+    for i, d in enumerate(distance):
+        assert found[i]["distance"] == pytest.approx(d, rel=0.15, abs=0.5)
+        assert found[i]["kept"] == (d <= cut) or abs(d - cut) < 0.15 * cut
+    assert 10 < (distance > cut).sum() < 30 and ((distance > cut * 1.2) & (distance < cut * 4)).sum() >= 4
+
+
 def test_passages(docs):
     found = [r for r in near_passages(docs).collect()]
     assert {(r["doc_id"], r["other_id"]) for r in found} == {(2, 1), (4, 3), (12, 1)}
