@@ -266,6 +266,23 @@ def test_exchange_finds_classes():
     assert set(member[2:]) <= {2, 3}
 
 
+def test_rare_words_have_classes(spark, monkeypatch):
+    # two kinds of words that take turns; most words of either are not among the seeds
+    monkeypatch.setattr(brown, "FREQUENT", 40)
+    rng = np.random.default_rng(4)
+
+    def word(often, rarely):
+        return f"{often}{rng.integers(20)}" if rng.random() < 0.3 else f"{rarely}{rng.integers(300)}"
+
+    rows = [(i, " ".join(word("a", "x") + " " + word("b", "y") for _ in range(30)), "en", "a", 0) for i in range(300)]
+    held = [r for r in brown.perplexities(spark.createDataFrame(rows, COLUMNS).repartition(2)).collect() if r["held_out"]]
+    gained = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert len(held) > 30 and gained > 0.2, gained
+    counts, own = np.array([[0, 0, 9, 0, 0, 0, 0, 0], [0, 0, 0, 9, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0, 0, 0]]), np.array([9, 9, 1])
+    table = np.array([[0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 5, 90], [0, 0, 90, 5]])
+    assert brown.best_classes(counts, own, table).tolist() == [3, 2, brown.OTHER]
+
+
 def test_warc(spark):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" + "x" * 2000
     rows = [(1, "u", big), (2, "u", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big + "y"), (None, "u", "z")]
