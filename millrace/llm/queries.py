@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.additive import quality
+from millrace.llm.alignment import align_tokenizers
 from millrace.llm.brown import perplexities
+from millrace.llm.conversations import prefix_trie
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.mixing import mixed
 from millrace.llm.outliers import quality_verdicts
+from millrace.llm.overlap import linked_documents
 from millrace.llm.passages import near_passages
 from millrace.llm.setsketch import near_duplicates
 from millrace.llm.suffixes import remove_repeats
@@ -18,6 +21,9 @@ from millrace.llm.toxicity import toxicity
 from millrace.llm.warc import round_trip
 from millrace.session import apply_settings
 
+#: Where the public tokenizer files lie on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFunction] = {}
@@ -145,3 +151,99 @@ def op6_additive_quality(spark, sf_dir):
 def op8_brown_perplexity(spark, sf_dir):
     """Class-based log-probabilities of every document."""
     return perplexities(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s
+        FROM w
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (s)
+        WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+    ), e AS (
+        SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 85 * (m.n + o.n - c)
+    ), d AS (
+        SELECT a, b FROM e UNION SELECT b, a FROM e
+    ), r AS (
+        SELECT doc_id AS x, doc_id AS y FROM documents
+        UNION
+        SELECT r.x, d.b FROM r JOIN d ON d.a = r.y
+    )
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, min(y)) AS component_id
+    FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.x = doc_id
+    GROUP BY doc_id, n.n
+    """
+)
+def op11_overlap_join(spark, sf_dir):
+    """Components of documents that share 85 of 100 shingles of four words."""
+    return linked_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query()
+def op12_tokenizer_alignment(spark, sf_dir):
+    """Byte-level and piece tokens of every document, aligned."""
+    return align_tokenizers(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    )
+
+
+@query(
+    r"""
+    WITH ids AS (
+        SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL
+    ), crc AS (
+        -- CRC-32 bit by bit: the decimal's bytes, eight shifts for each
+        SELECT c, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, flatten([
+                list_concat([-1 - ascii(substr(CAST(c AS VARCHAR), k, 1))::BIGINT], [0::BIGINT FOR i IN range(8)])
+                FOR k IN range(1, length(CAST(c AS VARCHAR)) + 1)])),
+            lambda x, b: CASE WHEN b < 0 THEN xor(x, -1 - b)
+                WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END), 4294967295::BIGINT) AS crc
+        FROM ids
+    ), own AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), turns AS (
+        SELECT x.c, o.k, o.role, o.text FROM crc x JOIN own o ON o.c = x.c - x.c % 20 WHERE o.k <= x.crc % 4
+        UNION ALL
+        SELECT x.c, o.k, o.role, o.text FROM crc x JOIN own o ON o.c = x.c WHERE o.k > x.crc % 4
+    ), rebuilt AS (
+        SELECT ids.c, coalesce(list({'r': role, 't': text} ORDER BY k) FILTER (k IS NOT NULL), []) AS seq
+        FROM ids LEFT JOIN turns ON turns.c = ids.c GROUP BY ids.c
+    ), prefixes AS (
+        SELECT c, seq AS whole, unnest(range(0, len(seq) + 1)) AS depth FROM rebuilt
+    ), nodes AS (
+        SELECT whole[1:depth] AS seq, depth, min(c) AS conv_id, count(*) AS n_convs,
+               coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(whole) = depth), '') AS ends
+        FROM prefixes GROUP BY 1, 2
+    ), kids AS (
+        SELECT seq[1:depth - 1] AS seq, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+    ), own_share AS (
+        SELECT n.*, coalesce(k.n, 0) AS n_children,
+               CASE WHEN depth = 0 THEN 0
+                    ELSE (n_convs - 1) * len(regexp_extract_all(n.seq[depth]['t'], '[^ 	-]+')) END AS saved
+        FROM nodes n LEFT JOIN kids k ON k.seq = n.seq
+    ), ups AS (
+        SELECT seq[1:d] AS seq, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own_share) GROUP BY 1
+    )
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+           CAST(n.n_children AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves,
+           CAST(u.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM own_share n JOIN ups u ON u.seq = n.seq
+    LEFT JOIN nodes p ON n.depth > 0 AND p.seq = n.seq[1:n.depth - 1]
+    """
+)
+def op13_conversation_trie(spark, sf_dir):
+    """Every node of the trie of conversations that share their first turns."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -23,6 +23,9 @@ LOWER[0x41:0x5B] += 0x20
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
 
+#: Stands for a null doc_id where arrays can hold none.
+NO_ID = -(2**63)
+
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -64,6 +67,11 @@ def is_among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
+def own_ids(ids: np.ndarray) -> pa.Array:
+    """The doc_ids of a batch as an Arrow column, with the nulls they came with."""
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 class Texts:
     """Texts of a batch: ``data`` holds their bytes, text i is ``data[ends[i]:ends[i+1]]``."""
 
@@ -80,7 +88,8 @@ class Texts:
         column = column.cast(pa.large_binary()).fill_null(b"")
         ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        numbers = None if ids is None else np.asarray(ids.to_numpy(zero_copy_only=False), dtype=np.int64)
+        # nulls are filled here: numpy would turn the whole column into doubles
+        numbers = None if ids is None else ids.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
         return cls(data, ends - ends[0], numbers)
 
     def text(self, i: int) -> bytes:
