@@ -60,6 +60,10 @@ class SyncSpec:
     max_records: int | None = None
     inclusive: bool = True
     on_error: str = "fail"
+    #: An incremental read in so many ranges of the cursor, each written and committed on its own.
+    ranges: int = 1
+    #: Stop after so many ranges; the next sync goes on behind them.
+    max_ranges: int | None = None
 
     def resolved(self, source: Source) -> SyncSpec:
         """All choices made.
@@ -83,6 +87,10 @@ class SyncSpec:
             write = APPEND
         if self.max_records is not None and not self.inclusive:
             raise SyncError("a cap may cut between equal cursors, so it needs inclusive reads")
+        if self.ranges < 1 or (self.max_ranges is not None and self.max_ranges < 1):
+            raise SyncError("a sync has at least one range")
+        if self.ranges > 1 and (mode != INCREMENTAL or self.max_records is not None):
+            raise SyncError("ranges are for incremental syncs without a cap")
         return replace(
             self,
             sync_mode=mode,
@@ -185,6 +193,69 @@ def _capped(lake: Lakehouse, df: DataFrame, spec: SyncSpec, table: str, limit: i
     return df.limit(limit)
 
 
+#: Cursor types whose quantiles Spark can estimate.
+_CUT_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def cursor_ranges(df: DataFrame, cursor: str, last: object | None, ranges: int) -> list[object]:
+    """Up to ``ranges`` rising upper ends of the cursor, as literals, that cut the new rows evenly.
+
+    One aggregate over the cursor column; the driver gets one value per range.
+    All rows with one cursor are in one range.  A cursor without quantiles, such
+    as text, is one range, and the list is empty if nothing is new.
+    """
+    kind = df.schema[cursor].dataType
+    column = F.col(f"`{cursor}`")
+    fresh = since(df, cursor, last, inclusive=False).where(column.isNotNull())
+    if ranges > 1 and isinstance(kind, _CUT_TYPES):
+        marks = F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10_000)
+    else:
+        marks = F.array().cast(T.ArrayType(kind))
+    ends = F.array_sort(F.array_distinct(F.concat(marks.cast(T.ArrayType(kind)), F.array(F.max(column)))))
+    found = fresh.agg(F.transform(F.filter(ends, lambda e: e.isNotNull()), lambda e: cursor_text(e, kind)).alias("ends"))
+    return [F.lit(text).cast(kind) for text in found.first()["ends"]]
+
+
+def range_pieces(df: DataFrame, cursor: str, last: object | None, inclusive: bool, ends: Sequence[object]):
+    """The new rows as one frame for each end, in cursor order.
+
+    The first one replays the boundary if reads are inclusive and, on a first
+    sync, takes the rows without a cursor.
+    """
+    column = F.col(f"`{cursor}`")
+    for i, end in enumerate(ends):
+        if i == 0:
+            piece = since(df, cursor, last, inclusive).where(column <= end)
+            yield piece.unionByName(df.where(column.isNull())) if last is None else piece
+        else:
+            yield df.where((column > ends[i - 1]) & (column <= end))
+
+
+def sync_ranges(
+    lake: Lakehouse, stream: Stream, spec: SyncSpec, table: str, last: object | None, commit: Callable[[Written], None]
+) -> Written:
+    """An incremental sync range by range; ``commit`` is called after each, so a restart goes on behind the last one.
+
+    Each range is read with its bounds pushed to the source.
+    """
+    df = stream.read()
+    ends = cursor_ranges(df, spec.cursor, last, spec.ranges)
+    total = Written(table, 0, 0)
+    pieces = range_pieces(df, spec.cursor, last, spec.inclusive, ends)
+    if not ends:  # nothing new but the boundary, and rows without a cursor
+        pieces = iter([since(df, spec.cursor, last, spec.inclusive)])
+    for number, piece in enumerate(pieces):
+        if spec.max_ranges is not None and number >= spec.max_ranges:
+            break
+        one = sync_stream(lake, replace(stream, read=lambda piece=piece: piece), replace(spec, ranges=1), table, None)
+        commit(one)
+        total = Written(
+            table, total.rows + one.rows, total.bytes_moved + one.bytes_moved,
+            total.schema_changed or one.schema_changed, one.cursor, total.rejected + one.rejected,
+        )
+    return total
+
+
 def sync_stream(
     lake: Lakehouse, stream: Stream, spec: SyncSpec, table: str, last: object | None,
     limit: int | None = None,
@@ -252,10 +323,17 @@ def sync(
             last = None
             if spec.sync_mode == INCREMENTAL:
                 last = state.cursor(name, spec.stream, spec.cursor)
-            written = sync_stream(lake, stream, spec, table, last, limit)
-            if written.cursor is not None:
-                kind = lake.spec(table).schema[spec.cursor].dataType.simpleString()
-                state.commit(name, spec.stream, spec.cursor, kind, written.cursor, run)
+
+            def commit(part: Written, spec: SyncSpec = spec, table: str = table) -> None:
+                if part.cursor is not None:
+                    kind = lake.spec(table).schema[spec.cursor].dataType.simpleString()
+                    state.commit(name, spec.stream, spec.cursor, kind, part.cursor, run)
+
+            if spec.ranges > 1 and limit is None:
+                written = sync_ranges(lake, stream, spec, table, last, commit)
+            else:
+                written = sync_stream(lake, stream, spec, table, last, limit)
+                commit(written)
         except Exception as problem:  # noqa: BLE001 - reported in the stream's own row
             error = f"{type(problem).__name__}: {problem}"[:2000]
         seconds = time.monotonic() - started

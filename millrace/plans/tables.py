@@ -13,19 +13,22 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import schema as S
-from millrace.operators.conform import conform
+from millrace.operators.conform import BAD_CELLS, conform
 from millrace.operators.merge import cursor_text, merge_frames
 from millrace.operators.partitioning import laid_out, with_partitions
 from millrace.schema import TableSpec, quoted
 
 SPEC_PROPERTY = "millrace.spec"
 STAGING_PREFIX = "_stage_"
+REJECTS_SUFFIX = "_rejects"
 CODEC = "zstd"
 
 
@@ -38,6 +41,16 @@ class Written:
     bytes_moved: int
     schema_changed: bool = False
     cursor: object = None
+    rejected: int = 0
+
+
+@dataclass(frozen=True)
+class _Aside:
+    """Rows with bad cells, staged beside the good ones."""
+
+    folder: str
+    rows: DataFrame
+    count: int
 
 
 class Lakehouse:
@@ -217,33 +230,77 @@ class Lakehouse:
         self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
         self.spark.catalog.refreshTable(name)
 
-    def _written(self, table: str, seen: Observation, changed: bool) -> Written:
+    def _written(self, table: str, seen: Observation, changed: bool, aside: _Aside | None = None) -> Written:
+        """Ends a write: the rows set aside go to the table of rejects, after the good ones."""
         values = seen.get
+        if aside is not None and aside.count:
+            rejects = self.rejects(table)
+            self.ensure(rejects, TableSpec(aside.rows.schema))
+            self.append(rejects, aside.rows)
         return Written(
-            table, int(values["rows"]), int(values["bytes"]), changed, values.get("cursor")
+            table, int(values["rows"]), int(values["bytes"]), changed, values.get("cursor"), aside.count if aside else 0
         )
 
+    def rejects(self, table: str) -> str:
+        """The table that takes rows with cells which ``table`` can't hold."""
+        namespace, name = self._parts(table)
+        return f"{namespace}.{name}{REJECTS_SUFFIX}"
+
+    def _sorted_out(self, df: DataFrame, table: str, on_error: str) -> tuple[DataFrame, str, _Aside | None]:
+        """The rows to write, how to write them, and the rows to set aside.
+
+        With ``quarantine`` the source is read once: one job writes good and bad
+        rows to two folders of a stage and counts the bad ones on the way.  A bad
+        row keeps its good cells, and lists the others as JSON in ``_bad_cells``.
+        """
+        if on_error != "quarantine":
+            return df, on_error, None
+        schema = self.spec(table).schema
+        listed = conform(df, schema, on_error)
+        seen = Observation(f"aside-{uuid.uuid4().hex}")
+        bad = F.size(BAD_CELLS) > 0
+        rows = listed.withColumn("_aside", bad).withColumn(BAD_CELLS, F.when(bad, F.to_json(BAD_CELLS)))
+        folder = f"{self._new_location(table)}-aside"
+        watched = rows.observe(seen, F.count_if("_aside").alias("rejected"))
+        watched.write.partitionBy("_aside").option("compression", CODEC).parquet(folder)
+        staged = self.spark.read.schema(rows.schema).parquet(folder)
+        good = staged.where(~F.col("_aside")).drop("_aside", BAD_CELLS)
+        bad_rows = staged.where("_aside").drop("_aside")
+        return good, "fail", _Aside(folder, bad_rows, int(seen.get["rejected"]))
+
+    def _forget(self, aside: _Aside | None) -> None:
+        if aside is not None:
+            self._delete(aside.folder)
+
     def append(
         self, table: str, df: DataFrame, on_error: str = "fail", cursor: str | None = None,
         schema_changed: bool = False,
     ) -> Written:
-        ready, names, spec = self._prepared(df, table, on_error)
-        watched, seen = self._watched(ready, spec.schema.names, cursor)
-        self._insert(watched, table, spec, names, overwrite=False)
-        return self._written(table, seen, schema_changed)
+        df, on_error, aside = self._sorted_out(df, table, on_error)
+        try:
+            ready, names, spec = self._prepared(df, table, on_error)
+            watched, seen = self._watched(ready, spec.schema.names, cursor)
+            self._insert(watched, table, spec, names, overwrite=False)
+            return self._written(table, seen, schema_changed, aside)
+        finally:
+            self._forget(aside)
 
     def overwrite(
         self, table: str, df: DataFrame, on_error: str = "fail", cursor: str | None = None,
         schema_changed: bool = False,
     ) -> Written:
         """Replace all rows, also by none."""
-        ready, names, spec = self._prepared(df, table, on_error)
-        watched, seen = self._watched(ready, spec.schema.names, cursor)
-        if names:
-            self._swap(table, spec, watched, names)
-        else:
-            self._publish(watched, table, spec)
-        return self._written(table, seen, schema_changed)
+        df, on_error, aside = self._sorted_out(df, table, on_error)
+        try:
+            ready, names, spec = self._prepared(df, table, on_error)
+            watched, seen = self._watched(ready, spec.schema.names, cursor)
+            if names:
+                self._swap(table, spec, watched, names)
+            else:
+                self._publish(watched, table, spec)
+            return self._written(table, seen, schema_changed, aside)
+        finally:
+            self._forget(aside)
 
     def upsert(
         self,
@@ -263,6 +320,7 @@ class Lakehouse:
         """
         if not keys:
             return self.append(table, df, on_error, cursor, schema_changed)
+        df, on_error, aside = self._sorted_out(df, table, on_error)
         ready, names, spec = self._prepared(df, table, on_error)
         watched, seen = self._watched(ready, spec.schema.names, cursor)
         stage = f"{self._new_location(table)}-stage"
@@ -273,10 +331,13 @@ class Lakehouse:
             if not names:
                 self._publish(merge_frames(target, batch, keys, order_by, null_safe), table, spec)
             else:
-                self._upsert_partitions(table, spec, target, batch, keys, order_by, null_safe, names)
+                self._upsert_partitions(
+                    table, spec, target, batch, keys, order_by, null_safe, names, f"{stage}/_touched"
+                )
+            return self._written(table, seen, schema_changed, aside)
         finally:
             self._delete(stage)
-        return self._written(table, seen, schema_changed)
+            self._forget(aside)
 
     def _upsert_partitions(
         self,
@@ -288,26 +349,31 @@ class Lakehouse:
         order_by: Sequence[str],
         null_safe: bool,
         names: list[str],
+        stage: str,
     ) -> None:
-        """Merge and replace only partitions that hold an incoming key, old or new."""
+        """Merge and replace only partitions that hold an incoming key, old or new.
+
+        Which these are is a frame like any other, written beside the staged
+        batch: one row per partition with the rows that leave it, stay and enter.
+        The target joins it by partition, so partitions that nothing touches are
+        pruned while the job runs.
+        """
         sign = "<=>" if null_safe else "="
         key_match = F.expr(" AND ".join(f"`{k}` {sign} `_in_{k}`" for k in keys))
         incoming = batch.select(*[F.col(f"`{k}`").alias(f"_in_{k}") for k in keys]).distinct()
         part = [F.col(f"`{n}`") for n in names]
-        # One row per partition of the table at most.
-        left = set(map(tuple, target.join(incoming, key_match, "left_semi").select(*part).distinct().collect()))
-        entered = set(map(tuple, batch.select(*part).distinct().collect()))
-        pruned = target.filter(_in_partitions(names, left | entered))
-        merged = merge_frames(pruned, batch, keys, order_by, null_safe)
-        # A partition that rows only leave may end up empty; then the overwrite,
-        # which replaces partitions that have rows, would leave the old ones.
-        gone: list[tuple] = []
-        if left - entered:
-            old = target.filter(_in_partitions(names, left - entered))
-            alive = old.join(incoming, key_match, "left_anti").select(*part).distinct().collect()
-            gone = sorted(left - entered - set(map(tuple, alive)), key=repr)
+        met = target.join(incoming.withColumn("_met", F.lit(1)), key_match, "left")
+        held = met.groupBy(*part).agg(F.count("_met").alias("_leave"), F.count_if(F.isnull("_met")).alias("_stay"))
+        entered = batch.groupBy(*part).agg(F.count(F.lit(1)).alias("_enter"))
+        counted = held.unionByName(entered, allowMissingColumns=True).groupBy(*part).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_leave", "_stay", "_enter")]
+        )
+        counted.where("_leave + _enter > 0").write.option("compression", CODEC).parquet(stage)
+        touched = self.spark.read.schema(counted.schema).parquet(stage)
+        merged = merge_frames(_of_partitions(target, touched, names), batch, keys, order_by, null_safe)
         self._insert(merged, table, spec, names, overwrite=True)
-        self._drop_partitions(table, names, gone)
+        # The overwrite replaces partitions that have rows; those that rows only left would keep the old ones.
+        self._drop_partitions(table, names, touched.where("_stay + _enter = 0").select(*part))
 
     def _swap(self, table: str, spec: TableSpec, df: DataFrame, names: list[str]) -> None:
         """Build the table anew beside the old one, then take its place.
@@ -332,10 +398,10 @@ class Lakehouse:
         self._swap(table, spec, watched, names)
         return int(seen.get["rows"])
 
-    def _drop_partitions(self, table: str, names: list[str], values: Sequence[tuple]) -> None:
-        """Remove partitions, at most all of the table, with their files."""
+    def _drop_partitions(self, table: str, names: list[str], emptied: DataFrame) -> None:
+        """Remove partitions with their files; a catalog step each, fetched a part at a time."""
         name = quoted(*self._parts(table))
-        for one in values:
+        for one in emptied.toLocalIterator():
             spec = ", ".join(f"{quoted(n)} = {_literal(v)}" for n, v in zip(names, one))
             where = self.spark.sql(f"DESCRIBE FORMATTED {name} PARTITION ({spec})").collect()
             folder = next(r["data_type"] for r in where if r["col_name"] == "Location")
@@ -356,8 +422,11 @@ class Lakehouse:
 
     def files(self, table: str) -> DataFrame:
         """``path, uri, length`` of every data file, listed by Spark, contents unread."""
+        return self._listed([self.location(table)])
+
+    def _listed(self, folders: list[str]) -> DataFrame:
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        return found.option("pathGlobFilter", "*.parquet").load(self.location(table)).select(
+        return found.option("pathGlobFilter", "*.parquet").load(folders).select(
             "path", F.col("_metadata.file_path").alias("uri"), "length"
         )
 
@@ -428,51 +497,58 @@ class Lakehouse:
         return len(old)
 
     def stats(self, namespace: str) -> DataFrame:
-        """``table_name, row_count, size_bytes, columns`` of every table of a namespace."""
-        parts = []
-        for name in self.tables(namespace):
-            table = f"{namespace}.{name}"
-            if self._is_view(table):
-                continue
-            df = self.read(table)
-            rows = df.agg(F.count(F.lit(1)).alias("row_count"))
-            held = self.files(table).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
-            parts.append(
-                rows.crossJoin(F.broadcast(held)).select(
-                    F.lit(name).alias("table_name"),
-                    "row_count",
-                    "size_bytes",
-                    F.lit(len(df.columns)).alias("columns"),
-                )
-            )
-        if not parts:
-            return self.spark.createDataFrame(
-                [], "table_name string, row_count bigint, size_bytes bigint, columns int"
-            )
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        """``table_name, row_count, size_bytes, columns`` of every table of a namespace.
+
+        Two scans for all tables together: one without columns, whose rows come
+        from the footers, and a listing of the files' lengths.  A file belongs to
+        the table whose folder is above it.
+        """
+        known = [(n, f"{namespace}.{n}") for n in self.tables(namespace) if not self._is_view(f"{namespace}.{n}")]
+        facts = [(name, self.location(table), len(self.read(table).columns)) for name, table in known]
+        listed = self.spark.createDataFrame(facts, "table_name string, location string, columns int")
+        homes = listed.select("table_name", _plain_path(F.col("location")).alias("_home"), "columns")
+        if not facts:
+            return homes.selectExpr("table_name", "0L AS row_count", "0L AS size_bytes", "columns")
+        folders = [home for _, home, _ in facts]
+        footers = self.spark.read.schema(T.StructType([])).option("recursiveFileLookup", True).parquet(*folders)
+        rows = footers.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
+        files = rows.unionByName(
+            self._listed(folders).select(F.col("uri").alias("_file"), F.col("length").alias("_size")), allowMissingColumns=True
+        )
+        parts = F.split(_plain_path(F.col("_file")), "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        held = (
+            files.select(F.explode(above).alias("_home"), "_rows", "_size")
+            .join(homes, "_home")
+            .groupBy("table_name")
+            .agg(F.sum("_rows").alias("_rows"), F.sum("_size").alias("_size"))
+        )
+        counted = [F.coalesce(a, F.lit(0)).alias(b) for a, b in (("_rows", "row_count"), ("_size", "size_bytes"))]
+        return homes.join(held, "table_name", "left").select("table_name", *counted, "columns")
 
     def _is_view(self, table: str) -> bool:
         return self.spark.catalog.getTable(".".join(quoted(p) for p in self._parts(table))).tableType == "VIEW"
 
 
-#: Beyond this many partitions nearly all are touched, and a list would not prune.
-MANY_PARTITIONS = 2000
+def _of_partitions(target: DataFrame, touched: DataFrame, names: list[str]) -> DataFrame:
+    """The target's rows in the partitions that ``touched`` lists, found while the job runs.
+
+    Plain equality lets the scan be pruned by the other side's rows.  Partitions
+    with a missing value are a scan of their own, pruned when it is planned.
+    """
+    wanted = touched.where("_leave + _stay > 0").select(*[F.col(f"`{n}`").alias(f"_p_{n}") for n in names])
+    absent = reduce(or_, [F.isnull(F.col(f"`{n}`")) for n in names])
+    absent_there = reduce(or_, [F.isnull(F.col(f"`_p_{n}`")) for n in names])
+    same, same_or_null = (
+        F.expr(" AND ".join(f"`{n}` {sign} `_p_{n}`" for n in names)) for sign in ("=", "<=>")
+    )
+    whole = target.where(~absent).join(wanted.where(~absent_there), same, "left_semi")
+    return whole.unionByName(target.where(absent).join(wanted.where(absent_there), same_or_null, "left_semi"))
 
 
-def _in_partitions(names: list[str], values: set[tuple]) -> Column:
-    """A condition on partition columns that prunes the scan when it is planned."""
-    if len(values) > MANY_PARTITIONS:
-        return F.lit(True)
-    out = F.lit(False)
-    for one in values:
-        same = F.lit(True)
-        for name, value in zip(names, one):
-            same = same & F.col(f"`{name}`").eqNullSafe(F.lit(value))
-        out = out | same
-    return out
+def _plain_path(path: Column) -> Column:
+    """A path with one form of scheme and no slash at its end."""
+    return F.regexp_replace(F.regexp_replace(path, "^([a-zA-Z0-9+.-]+):/{2,}", "$1:/"), "/+$", "")
 
 
 def _literal(value: object) -> str:

@@ -161,6 +161,25 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bill_columns(spark, sf_dir, *BILL_COLUMNS)
 
 
+@query(
+    f"""{I.SQL_USAGE}, a AS (
+      SELECT 'c' || c_custkey AS tenant_id, {I.sql_choose('c_mktsegment', I.PLAN_OF, 'retired')} AS plan
+      FROM customer WHERE c_custkey % 7 > 0)
+    SELECT s.tenant_id, s.period_start, s.meter, s.quantity,
+      CASE WHEN a.tenant_id IS NULL THEN 'no account' ELSE 'unknown plan' END AS reason
+    FROM summary s LEFT JOIN a USING (tenant_id) WHERE a.tenant_id IS NULL OR a.plan = 'retired'"""
+)
+def unbilled_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage that no bill holds: tenants without an account, and accounts on a plan without prices."""
+    known = I.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 > 0).select(
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("tenant_id"),
+        I.choose(F.col("c_mktsegment"), I.PLAN_OF, "retired").alias("plan"),
+    )
+    card = pricing.RateCard.default(spark)
+    lines = pricing.unbilled_usage(I.usage_summary(spark, sf_dir), known, card)
+    return dated(lines).select("tenant_id", "period_start", "meter", "quantity", "reason")
+
+
 @query(
     f"""{_bill_sql(PLAIN_ACCOUNTS)}
     SELECT tenant_id, period_start, plan, meter, quantity, CAST(infra_amount AS DECIMAL(18,4)) AS infra_usd

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import dims
-from millrace.plans.sync import INCREMENTAL, Stream, SyncSpec, sync
+from millrace.plans.sync import APPEND, INCREMENTAL, Stream, SyncSpec, sync
 from millrace.plans.tables import Lakehouse, storage_bytes
 from millrace.queries import inputs as I
 from millrace.queries import query
-from millrace.queries.merging import SQL_CHANGES, SQL_NEWEST, SQL_TARGET, order_changes, target_orders
-from millrace.schema import TableSpec
+from millrace.queries.merging import SQL_UPSERTED, order_changes, target_orders
+from millrace.schema import TableSpec, make_schema
 from millrace.session import scratch_path
-from millrace.streaming import ingest
+from millrace.streaming import ingest, late
 from millrace.streaming.usage import usage_windows
 from millrace.usage import metering
 from millrace.usage.summary import dashboard
@@ -25,11 +25,7 @@ def new_lake(spark: SparkSession, purpose: str) -> tuple[Lakehouse, str]:
     return lake, f"{purpose}_{lake.root[-8:]}"
 
 
-@query(
-    f"""WITH {SQL_TARGET}, {SQL_CHANGES}, {SQL_NEWEST}
-    SELECT t.* FROM target t LEFT JOIN newest n ON n.o_orderkey = t.o_orderkey WHERE n.o_orderkey IS NULL
-    UNION ALL SELECT * FROM newest"""
-)
+@query(SQL_UPSERTED)
 def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyed write into a stored table partitioned by year: only touched years are rewritten."""
     lake, space = new_lake(spark, "upsert")
@@ -112,9 +108,9 @@ def compact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'customer' AS table_name, count(*) AS row_count, 5 AS columns FROM customer
-    UNION ALL SELECT 'nation', count(*), 3 FROM nation
-    UNION ALL SELECT 'region', count(*), 2 FROM region"""
+    """SELECT 'customer' AS table_name, count(*) AS row_count, 5 AS columns, true AS size_in_bounds FROM customer
+    UNION ALL SELECT 'nation', count(*), 3, true FROM nation
+    UNION ALL SELECT 'region', count(*), 2, true FROM region"""
 )
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake, space = new_lake(spark, "stats")
@@ -122,7 +118,10 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = I.table(spark, sf_dir, name)
         lake.ensure(f"{space}.{name}", TableSpec(df.schema))
         lake.append(f"{space}.{name}", df)
-    return lake.stats(space).drop("size_bytes")
+    # Parquet needs a byte a row at the least here, and less than 200 beside its footers.
+    footers = 20_000 * F.lit(spark.sparkContext.defaultParallelism)
+    bounds = F.col("size_bytes").between(F.col("row_count"), 200 * F.col("row_count") + footers)
+    return lake.stats(space).withColumn("size_in_bounds", bounds).drop("size_bytes")
 
 
 @query()
@@ -194,6 +193,55 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read(table)
 
 
+#: Parts that the events' weeks are dealt into.
+ARRIVALS = 4
+
+
+def arrivals(spark: SparkSession, events: DataFrame, path: str):
+    """Stores the events as files that come out of order: for each, its number and then the files so far lie there.
+
+    The events are cut into parts by time; odd parts come before the even ones, so
+    every second arrival brings times that the stream has long passed.
+    """
+    part = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (7 * 86400)) % ARRIVALS
+    for n in (1, 0, 3, 2):
+        events.where(part == n).write.mode("append").parquet(path)
+        yield n
+
+
+@query(
+    f"""{I.SQL_USAGE} SELECT tenant_id, meter, date_trunc('day', occurred_at) AS period_start,
+      CAST(sum(quantity) AS DECIMAL(20,9)) AS quantity,
+      CAST(sum(quantity * unit_cost_usd) AS DECIMAL(24,8)) AS infra_cost_usd, count(*) AS events
+    FROM usage GROUP BY 1, 2, 3"""
+)
+def stream_late_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily usage of files that arrive out of order: late events are set aside and merged afterwards."""
+    path = scratch_path(spark, "stream-late")
+    source = I.table(spark, sf_dir, "events")
+    for _ in arrivals(spark, source, f"{path}/in"):
+        log = I.usage_log_of(ingest.read_files(spark, f"{path}/in", source.schema))
+        events = metering.with_unit_cost(log, dims.rates(spark), dims.region_indexes(spark))
+        late.log_usage_windows(events, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    out = late.reconciled(spark, f"{path}/log", I.usage_events(spark, sf_dir))
+    return out.drop("late_events").withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, user_id, ts FROM events")
+def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice, in files out of order: what the stream drops as late is found again, once."""
+    path = scratch_path(spark, "stream-seen")
+    raw = I.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    for _ in arrivals(spark, raw.unionByName(raw), f"{path}/in"):
+        stream = ingest.read_files(spark, f"{path}/in", raw.schema)
+        once = ingest.without_replays(stream, ["event_id"], "ts", "1 day")
+        ingest.log_batches(once, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+        late.log_behind(stream, "ts", "1 day", f"{path}/behind", f"{path}/behind-checkpoint").awaitTermination()
+    passed = spark.read.parquet(f"{path}/log").drop("_batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = late.first_sightings(spark, f"{path}/behind", raw.schema, passed, ["event_id"])
+    return passed.unionByName(found)
+
+
 @query("SELECT event_id, user_id, ts FROM events")
 def stream_without_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event comes twice; the stream lets each pass once."""

@@ -79,11 +79,15 @@ def batch_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(order_changes(spark, sf_dir), ["o_orderkey"], ["changed_at"])
 
 
-@query(
-    f"""WITH {SQL_TARGET}, {SQL_CHANGES}, {SQL_NEWEST}
-    SELECT t.* FROM target t LEFT JOIN newest n ON n.o_orderkey = t.o_orderkey WHERE n.o_orderkey IS NULL
-    UNION ALL SELECT * FROM newest"""
-)
+#: The rows after an upsert: per key the newest change, or else the stored row.  One ranking, no join.
+SQL_UPSERTED = f"""WITH {SQL_TARGET}, {SQL_CHANGES}, versions AS (
+      SELECT *, 0 AS incoming FROM target UNION ALL SELECT *, 1 FROM changes)
+    SELECT o_orderkey, o_custkey, price, changed_at FROM versions
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey
+      ORDER BY incoming DESC, changed_at DESC, o_custkey DESC, price DESC) = 1"""
+
+
+@query(SQL_UPSERTED)
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_frames(
         target_orders(spark, sf_dir), order_changes(spark, sf_dir), ["o_orderkey"], ["changed_at"]
@@ -119,12 +123,11 @@ def upsert_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SQL_TARGET}, {SQL_CHANGES},
     t AS (SELECT CASE WHEN price > 100000 THEN o_orderkey END AS o_orderkey, o_custkey, price, changed_at FROM target),
     c AS (SELECT CASE WHEN price > 100000 THEN o_orderkey END AS o_orderkey, o_custkey, price, changed_at FROM changes),
-    n AS (SELECT o_orderkey, o_custkey, price, changed_at FROM (
-      SELECT *, row_number() OVER (PARTITION BY o_orderkey
-               ORDER BY changed_at DESC, o_custkey DESC, price DESC) AS rn FROM c
-      WHERE o_orderkey IS NOT NULL) WHERE rn = 1)
-    SELECT t.* FROM t LEFT JOIN n ON n.o_orderkey = t.o_orderkey WHERE n.o_orderkey IS NULL
-    UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c WHERE o_orderkey IS NULL"""
+    versions AS (SELECT *, 0 AS incoming FROM t UNION ALL SELECT *, 1 FROM c)
+    SELECT o_orderkey, o_custkey, price, changed_at FROM versions WHERE o_orderkey IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey
+      ORDER BY incoming DESC, changed_at DESC, o_custkey DESC, price DESC) = 1
+    UNION ALL SELECT o_orderkey, o_custkey, price, changed_at FROM versions WHERE o_orderkey IS NULL"""
 )
 def merge_sql_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the rules of SQL MERGE: a missing key never matches."""

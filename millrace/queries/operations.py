@@ -14,6 +14,7 @@ from millrace.plans.sync import run_rollup as rollup_runs
 from millrace.queries import inputs as I
 from millrace.queries import query
 from millrace.schema import make_schema
+from millrace.session import scratch_path
 from millrace.sources import protocol
 from millrace.sources.files import explode_records
 from millrace.sources.relational import describe_streams
@@ -279,6 +280,30 @@ def protocol_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query(
+    """WITH o AS (
+      SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
+    SELECT 'orders' AS stream, n AS records, CAST(o_orderkey AS VARCHAR) AS cursor FROM o WHERE o_orderkey % 10 = 0
+      AND n < (SELECT count(*) * 3 // 4 FROM orders)"""
+)
+def state_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with states between its records: each commits what stands before it; the read ends at three quarters."""
+    o = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    text = F.col("o_orderkey").cast("string")
+    record = F.format_string('{"type":"RECORD","record":{"stream":"orders","data":{"id":%s}}}', text)
+    state = F.format_string('{"type":"STATE","state":{"stream":"orders","data":{"cursor":"%s"}}}', text)
+    lines = o.select(
+        "o_orderdate", "o_orderkey", F.posexplode(F.when(F.col("o_orderkey") % 10 == 0, F.array(record, state)).otherwise(F.array(record)))
+    )
+    path = scratch_path(spark, "state-log")
+    lines.orderBy("o_orderdate", "o_orderkey", "pos").select(F.col("col").alias("value")).write.text(path)
+    messages = protocol.parse_messages(protocol.read_log(spark, path), keep=["position"])
+    stop = o.count() * 3 // 4
+    return protocol.committed_states(messages, max_records=stop).select(
+        "stream", "records", F.get_json_object("state", "$.cursor").alias("cursor")
+    )
+
+
 @query(
     """SELECT 'order' AS kind, o_orderkey AS key, o_totalprice AS amount FROM orders
     UNION ALL SELECT 'customer of order', o_custkey, NULL FROM orders

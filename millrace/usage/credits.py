@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.running import LARGE_GROUP, has_large_group, slice_starts, with_slices
+from millrace.operators.running import carried, running_total
 from millrace.usage import money
 from millrace.usage.pricing import best_tier_sql, tier_array
 
@@ -61,19 +63,19 @@ def credit_balance(grants: DataFrame, as_of: Column) -> DataFrame:
 
 KINDS = ("_grant", "_charge")
 
+#: Steps of the money axis, in USD, from coarse to fine: what lies in one fine step is merged in one task.
+MONEY_STEPS = (10_000, 10)
+
 
-def _stretches(frame: DataFrame, kind: str, before: Column, slices: list[str]) -> DataFrame:
+def _stretches(frame: DataFrame, kind: str, periods: Sequence[str]) -> DataFrame:
     """Amounts laid end to end per tenant: ``tenant_id, _at, _grant, _charge``.
 
     A stretch is its end on the money axis and its id, and begins at ``_at``.
-    ``before`` is the sum of all slices before the row's own.
     """
-    inside = Window.partitionBy("tenant_id", *slices).orderBy("_order").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    end = money.amount(F.sum("_usd").over(inside) + before)
-    ended = frame.select(
-        "tenant_id", "_usd", F.struct(end.alias("end"), F.col("_id").alias("id")).alias("_stretch")
+    levels = [F.date_trunc(p, F.col("_when")) for p in periods]
+    summed = running_total(frame, ["tenant_id"], ["_order"], "_usd", "_end", levels)
+    ended = summed.select(
+        "tenant_id", "_usd", F.struct(money.amount(F.col("_end")).alias("end"), F.col("_id").alias("id")).alias("_stretch")
     )
     return ended.select(
         "tenant_id",
@@ -82,78 +84,12 @@ def _stretches(frame: DataFrame, kind: str, before: Column, slices: list[str]) -
     )
 
 
-def _whole_marks(frame: DataFrame, kind: str) -> DataFrame:
-    """Stretches of tenants that each fit one task; the whole axis is one slice."""
-    zero = F.lit(0).cast(money.AMOUNT)
-    return _stretches(frame, kind, zero, []).select("tenant_id", zero.alias("_cut"), "_at", *KINDS)
-
-
-def _sliced_marks(frames: dict[str, DataFrame], large_above: int) -> DataFrame:
-    """Stretches with the cut of the axis they begin in, and what reaches over each cut.
-
-    The axis of a large tenant is cut where a new period of its grants or charges
-    begins.  Other tenants have the one cut at zero.
-    """
-    zero = F.lit(0).cast(money.AMOUNT)
-    marks, places = [], []
-    for kind, frame in frames.items():
-        sliced = with_slices(frame, ["tenant_id"], F.col("_period"), large_above)
-        starts = slice_starts(sliced, "tenant_id", "_usd")
-        joined = sliced.join(starts, ["tenant_id", "_slice"])
-        marks.append(_stretches(joined, kind, F.col("_before"), ["_slice"]))
-        places.append(starts.select("tenant_id", money.amount(F.col("_before")).alias("_cut")))
-    # Only large tenants have a cut beyond zero, so this holds few rows, each as
-    # long as the calendar.
-    cuts = (
-        places[0]
-        .unionByName(places[1])
-        .filter("_cut > 0")
-        .groupBy("tenant_id")
-        .agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
-    )
-    placed = (
-        marks[0]
-        .unionByName(marks[1])
-        .join(F.broadcast(cuts), "tenant_id", "left")
-        .select(
-            "tenant_id",
-            F.coalesce(F.array_max(F.expr("filter(_cuts, c -> c <= _at)")), zero).alias("_cut"),
-            "_at",
-            *KINDS,
-            F.col("_cuts").isNotNull().alias("_large"),
-        )
-    )
-    lasts = placed.filter("_large").groupBy("tenant_id", "_cut").agg(
-        *[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("_at"))).alias(f"{k}_last") for k in KINDS]
-    )
-    slices = cuts.select(
-        "tenant_id", F.explode(F.concat(F.array(zero), F.col("_cuts"))).alias("_cut")
-    )
-    earlier = Window.partitionBy("tenant_id").orderBy("_cut").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    reaching = slices.join(lasts, ["tenant_id", "_cut"], "left").select(
-        "tenant_id",
-        "_cut",
-        F.col("_cut").alias("_at"),
-        *[F.last(f"{k}_last", ignorenulls=True).over(earlier).alias(k) for k in KINDS],
-    )
-    none = F.lit(None).cast(placed.schema["_grant"].dataType)
-    out = placed.drop("_large")
-    for kind in KINDS:
-        one = reaching.filter(F.col(kind).isNotNull()).select(
-            "tenant_id", "_cut", "_at", *[F.col(k) if k == kind else none.alias(k) for k in KINDS]
-        )
-        out = out.unionByName(one)
-    return out
-
-
 def burn_credits(
     grants: DataFrame,
     charges: DataFrame,
     as_of: Column,
-    slice_by: str = "day",
-    large_above: int = LARGE_GROUP,
+    periods: Sequence[str] = ("month", "minute"),
+    money_steps: Sequence[float] = MONEY_STEPS,
 ) -> DataFrame:
     """``tenant_id, grant_id, charge_id, burned_usd``: oldest credit first.
 
@@ -163,49 +99,39 @@ def burn_credits(
     the axis instead of compared pair by pair, so the work and the output are
     linear in grants plus charges.
 
-    When the plan is made, a count looks for tenants with more than
-    ``large_above`` grants or charges.  If there are any, their axis is cut by
-    ``slice_by`` period, so that a tenant with a third of all rows is spread over
-    as many tasks as it has periods.  The result is the same either way.
+    Sums run level by level over ``periods`` (grants by their end date), and what
+    is open at a place of the axis over ``money_steps``; both go from coarse to
+    fine.  A tenant with a third of all rows is spread over its periods and steps.
     """
     expiry = F.coalesce(F.col("expires_at").cast("timestamp"), F.lit(NEVER).cast("timestamp"))
     credit = active_grants(grants, as_of).filter("tenant_id IS NOT NULL").select(
         "tenant_id",
         F.struct(expiry, F.col("granted_at"), F.col("grant_id")).alias("_order"),
-        F.date_trunc(slice_by, expiry).alias("_period"),
+        expiry.alias("_when"),
         F.col("grant_id").cast("string").alias("_id"),
         F.col("remaining_usd").alias("_usd"),
     )
     debt = charges.filter("amount_usd > 0 AND tenant_id IS NOT NULL").select(
         "tenant_id",
         F.struct("charged_at", "charge_id").alias("_order"),
-        F.date_trunc(slice_by, "charged_at").alias("_period"),
+        F.col("charged_at").alias("_when"),
         F.col("charge_id").cast("string").alias("_id"),
         money.amount(F.col("amount_usd")).alias("_usd"),
     )
-    frames = {"_grant": credit, "_charge": debt}
-    if any(has_large_group(f, ["tenant_id"], large_above) for f in frames.values()):
-        marks = _sliced_marks(frames, large_above)
-    else:
-        marks = _whole_marks(credit, "_grant").unionByName(_whole_marks(debt, "_charge"))
-
+    marks = _stretches(credit, "_grant", periods).unionByName(_stretches(debt, "_charge", periods))
     # What is open at a mark is the last of each kind to begin; at one place the
     # stretch that ends there comes before the one that begins.
-    so_far = (
-        Window.partitionBy("tenant_id", "_cut")
-        .orderBy("_at", F.coalesce("_grant.end", "_charge.end"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    pieces = marks.select(
-        "tenant_id", "_at", *[F.last(k, ignorenulls=True).over(so_far).alias(k) for k in KINDS]
-    )
-    burned = money.amount(F.least("_grant.end", "_charge.end") - F.col("_at"))
+    steps = [F.floor(F.col("_at") / F.lit(step).cast("decimal(18,8)")) for step in money_steps]
+    open_at = {f"_open{k}": F.col(k) for k in KINDS}
+    pieces = carried(marks, ["tenant_id"], ["_at", F.coalesce("_grant.end", "_charge.end")], open_at, steps)
+    grant, charge = (F.col(name) for name in open_at)
+    burned = money.amount(F.least(grant["end"], charge["end"]) - F.col("_at"))
     return (
-        pieces.filter("_grant IS NOT NULL AND _charge IS NOT NULL")
+        pieces.filter(grant.isNotNull() & charge.isNotNull())
         .select(
             "tenant_id",
-            F.col("_grant.id").alias("grant_id"),
-            F.col("_charge.id").alias("charge_id"),
+            grant["id"].alias("grant_id"),
+            charge["id"].alias("charge_id"),
             burned.alias("burned_usd"),
         )
         .filter(F.col("burned_usd") > 0)

@@ -422,7 +422,7 @@ def invoices(
     """
     payable = money.positive(F.col("subtotal_usd") + F.col("commitment_usd"))
     owed = bills.withColumn("payable_usd", money.amount(payable))
-    summed = running_total(owed, ["tenant_id", "plan"], ["period_start"], "payable_usd", "payable_so_far")
+    summed = running_total(owed, ["tenant_id", "plan"], ["period_start"], "payable_usd", "payable_so_far", [F.date_trunc("year", "period_start")])
     balance = money.amount(F.coalesce(F.col("balance_usd"), F.lit(0)))
     upto = F.least(balance, money.amount(F.col("payable_so_far")))
     before = F.least(balance, money.amount(F.col("payable_so_far") - F.col("payable_usd")))

@@ -237,11 +237,13 @@ def burn_by_hand(held, spent):
     return out
 
 
-@pytest.mark.parametrize("slice_by,large_above", [("year", 10), ("month", 10), ("day", 10), ("day", 10**6)])
-def test_burning_many_charges_matches_one_by_one(spark, slice_by, large_above):
+@pytest.mark.parametrize(
+    "periods,steps", [(("year",), (10**6,)), (("month", "day"), (1000, 10)), (("year", "month", "minute"), (500, 50, 1))]
+)
+def test_burning_many_charges_matches_one_by_one(spark, periods, steps):
     credit = [((i * 37) % 90 + 10, 200 + i) for i in range(60)]
     spent = [(i * 53) % 40 for i in range(150)]
-    found = C.burn_credits(grants(spark, *credit), charges(spark, *spent), as_of(1), slice_by, large_above)
+    found = C.burn_credits(grants(spark, *credit), charges(spark, *spent), as_of(1), periods, steps)
     wanted = burn_by_hand([(f"g{i}", a) for i, (a, _) in enumerate(credit)], [(f"c{i:04d}", a) for i, a in enumerate(spent)])
     assert {(r.grant_id, r.charge_id): int(r.burned_usd) for r in found.collect()} == wanted
 

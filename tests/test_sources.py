@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from millrace import schema as S
 from millrace.operators.merge import since
+from millrace.plans.sync import INCREMENTAL, SyncSpec, sync
 from millrace.sources import files, protocol, relational, sample
 
 from .conftest import rows
@@ -188,3 +189,51 @@ def test_stream_of_unknown_namespace(spark, lake):
 
 def test_types_stay(spark):
     assert isinstance(sample.orders(spark, 1).schema["ordered_at"].dataType, T.TimestampType)
+
+
+def message(stream, **parts):
+    kind = "STATE" if "state" in parts else "RECORD"
+    name = '"stream":"%s",' % stream if stream else ""
+    data = parts.get("state", parts.get("record"))
+    return f'{{"type":"{kind}","{kind.lower()}":{{{name}"data":{data}}}}}'
+
+
+def test_states_commit_what_stands_before_them(spark, tmp_path):
+    first = ["noise", message("a", record='{"id":1}'), message("b", record='{"id":1}'), message("a", state='{"c":1}'),
+             message(None, state='{"all":1}'), message("a", record='{"id":2}')]
+    second = [message("b", state='{"c":5}'), message("b", record='{"id":2}'), message("a", record='{"id":3}'),
+              message("a", state='{"c":3}'), message("a", record='{"id":4}')]
+    for name, lines in (("part-0", first), ("part-1", second)):
+        write(tmp_path / name, "\n".join(lines) + "\n")
+    messages = protocol.parse_messages(protocol.read_log(spark, f"file:{tmp_path}"), keep=["position"])
+    found = protocol.committed_states(messages)
+    assert rows(found.select("stream", "state", "records")) == [
+        ("a", '{"c":1}', 1), ("a", '{"c":3}', 3), ("b", '{"c":5}', 1), (None, '{"all":1}', 2),
+    ]
+    assert rows(protocol.resume_points(found)) == [("a", '{"c":3}', 3), ("b", '{"c":5}', 1), (None, '{"all":1}', 2)]
+    for cap, wanted in ((2, []), (3, ["1", "all"]), (4, ["1", "5", "all"]), (6, ["1", "3", "5", "all"]), (100, ["1", "3", "5", "all"])):
+        kept = protocol.committed_states(messages, max_records=cap)
+        assert sorted(r.state[-2] if "c" in r.state else "all" for r in kept.collect()) == wanted, cap
+
+
+def test_states_of_a_log_in_many_blocks(spark, tmp_path):
+    lines = [message("s", record='{"id":%d,"pad":"%s"}' % (i, "x" * 50)) if i % 7 else message("s", state=f'{{"c":{i}}}') for i in range(1, 3000)]
+    write(tmp_path / "log", "\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        messages = protocol.parse_messages(protocol.read_log(spark, f"file:{tmp_path}"), keep=["position"])
+        found = {int(r.state[5:-1]): r.records for r in protocol.committed_states(messages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {i: i - i // 7 for i in range(7, 3000, 7)}
+
+
+def test_a_log_is_a_source_of_syncs(spark, lake, tmp_path):
+    lines = [message("a", record='{"id":1,"v":"x"}'), message("b", record='{"id":9}'), message("a", record='{"id":1,"v":"x"}'),
+             message("a", record='{"id":2,"v":"y"}')]
+    write(tmp_path / "log", "\n".join(lines))
+    messages = protocol.parse_messages(protocol.read_log(spark, f"file:{tmp_path}"))
+    schemas = {"a": S.make_schema({"id": "long", "v": "string"}), "b": S.make_schema({"id": "long"})}
+    source = protocol.log_streams(messages, schemas, {"a": ["id"]})
+    sync(spark, "log", source, [SyncSpec("a", INCREMENTAL), SyncSpec("b")], "fromlog", lake, state_namespace="fromlog_ops")
+    assert rows(lake.read("fromlog.a")) == [(1, "x", 0), (2, "y", 0)] and rows(lake.read("fromlog.b")) == [(9, 0)]

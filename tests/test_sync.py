@@ -202,3 +202,54 @@ def test_streams_that_would_share_a_table_are_refused(spark, lake):
     source = {n: Y.Stream(n, lambda: spark.range(1)) for n in (one, two)}
     with pytest.raises(Y.SyncError, match="several streams"):
         Y.sync(spark, "s", source, [Y.SyncSpec(one), Y.SyncSpec(two)], "same", lake)
+
+
+def cut_source(spark, table, keys=()):
+    return {"t": Y.Stream("t", lambda: spark.table(table), keys, "at")}
+
+
+def held(lake, name):
+    return sorted(r.id for r in lake.read(name).collect())
+
+
+@pytest.mark.parametrize("kind", ["int", "timestamp", "string"])
+def test_a_large_sync_is_cut_and_goes_on(spark, lake, kind):
+    at = {"int": "CAST(id DIV 3 AS INT)", "timestamp": "timestamp_seconds(id DIV 3)", "string": "format_string('%05d', id DIV 3)"}[kind]
+    space = f"cut_{kind}"
+    spark.range(300).selectExpr("id", f"if(id = 0, null, {at}) AS at").createOrReplaceTempView("cut_rows")
+    source = cut_source(spark, "cut_rows")
+    spec = Y.SyncSpec("t", Y.INCREMENTAL, Y.APPEND, inclusive=False, ranges=5, max_ranges=2)
+    log = logged(Y.sync(spark, "s", source, [spec], space, lake, state_namespace=f"{space}_ops"))
+    part = held(lake, f"{space}.t")
+    marks = lake.read(f"{space}_ops.checkpoints").count()
+    if kind == "string":  # no quantiles of text: one range
+        assert part == list(range(300)) and marks == 1
+    else:
+        # the first two of five ranges, whole cursors only, the row without a cursor too
+        assert part == list(range(len(part))) and 90 <= len(part) <= 150 and len(part) % 3 == 0 and marks == 2
+        assert log["t"].records == len(part) and log["t"].succeeded
+    for _ in range(2):
+        Y.sync(spark, "s", source, [Y.SyncSpec("t", Y.INCREMENTAL, Y.APPEND, inclusive=False, ranges=5)], space, lake, state_namespace=f"{space}_ops")
+        assert held(lake, f"{space}.t") == list(range(300))
+
+
+def test_a_range_that_fails_keeps_the_ones_before(spark, lake):
+    source = {"t": Y.Stream("t", lambda: spark.range(100).selectExpr(
+        "id", "id AS at", "if(id > 70 AND '{}' = 'bad', raise_error('boom'), id) AS v".format(state["is"])), ("id",), "at")}
+    state = {"is": "bad"}
+    spec = Y.SyncSpec("t", Y.INCREMENTAL, ranges=4)
+    log = logged(Y.sync(spark, "s", source, [spec], "brk", lake, state_namespace="brk_ops"))
+    assert not log["t"].succeeded and "boom" in log["t"].error
+    part = held(lake, "brk.t")
+    assert part == list(range(len(part))) and 40 <= len(part) <= 71
+    state["is"] = "good"
+    log = logged(Y.sync(spark, "s", source, [spec], "brk", lake, state_namespace="brk_ops"))
+    # the boundary is replayed, and merged by key
+    assert log["t"].succeeded and log["t"].records == 100 - len(part) + 1 and held(lake, "brk.t") == list(range(100))
+
+
+def test_ranges_are_checked(spark):
+    source = cut_source(spark, "x")
+    for wrong in (dict(ranges=0), dict(ranges=2, max_records=5), dict(ranges=2, max_ranges=0)):
+        with pytest.raises(Y.SyncError):
+            Y.SyncSpec("t", Y.INCREMENTAL, **wrong).resolved(source)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from millrace import schema as S
 from millrace.operators.merge import last_wins, merge_frames
 from millrace.operators.partitioning import transform_column, with_partitions
+from millrace.plans.tables import _of_partitions
 from millrace.schema import SchemaError, TableSpec
 
 from .conftest import rows
@@ -190,3 +191,82 @@ def test_a_missing_partition_value_can_be_left(spark, lake):
     assert rows(lake.read("part.n").select("id", "p")) == [(1, "a"), (2, "a")]
     lake.upsert("part.n", spark.createDataFrame([(2, None)], ddl), ["id"])
     assert rows(lake.read("part.n").select("id", "p")) == [(1, "a"), (2, None)]
+
+
+KEYED = "id bigint, v string, seq int, part string, sub int"
+
+
+def by_hand(target, batch):
+    kept = {r[0]: r for r in target}
+    for r in sorted(batch, key=lambda r: r[2]):
+        kept[r[0]] = r
+    return sorted(kept.values(), key=repr)
+
+
+def test_upsert_touches_only_partitions_with_incoming_keys(spark, lake):
+    target = [(i, "old", 0, f"p{i % 5}" if i % 7 else None, i % 2) for i in range(60)]
+    # keys that stay, keys that move on, new keys, a partition that loses all its rows, one that nothing touches
+    batch = [(i, "new", 1, f"p{i % 5}" if i % 7 else None, i % 2) for i in range(0, 20, 5)]
+    batch += [(i, "moved", 2, "p9", 0) for i in range(60) if i % 5 == 3 and i % 7]
+    batch += [(100, "fresh", 1, None, None), (101, "fresh", 1, "p1", 1)]
+    spec = TableSpec(S.make_schema({"id": "long", "v": "string", "seq": "int", "part": "string", "sub": "int"}), ("id",), ("part", "sub"))
+    lake.ensure("up.t", spec)
+    lake.append("up.t", frame(spark, target, KEYED))
+    before = {r.uri for r in lake.files("up.t").collect()}
+    lake.upsert("up.t", frame(spark, batch, KEYED), ["id"], ["seq"])
+    assert rows(lake.read("up.t")) == by_hand(target, batch)
+    after = {r.uri for r in lake.files("up.t").collect()}
+    untouched = [u for u in before if "part=p2" in u or "part=p4" in u]
+    assert untouched and set(untouched) <= after
+    assert not any("part=p3" in u for u in after) and any("part=p3" in u for u in before)
+    again = lake.upsert("up.t", frame(spark, batch, KEYED), ["id"], ["seq"])
+    assert again.rows == len(batch) and rows(lake.read("up.t")) == by_hand(target, batch)
+
+
+def test_touched_partitions_prune_the_scan(spark, lake):
+    spec = TableSpec(S.make_schema({"id": "long", "part": "int"}), ("id",), ("part",))
+    lake.ensure("prune.t", spec)
+    lake.append("prune.t", spark.range(40).selectExpr("id", "CAST(id % 8 AS INT) AS part"))
+    touched = spark.createDataFrame([(3, 1, 0, 0)], "part int, _leave int, _stay int, _enter int")
+    found = _of_partitions(spark.table("prune.t"), touched, ["part"])
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+    assert rows(found.select("id")) == [(i,) for i in sorted(range(3, 40, 8), key=lambda i: repr((i,)))]
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite", "upsert"])
+def test_rejected_rows_go_to_a_table_of_their_own(spark, lake, mode):
+    spec = TableSpec(S.make_schema({"id": "long", "amount": "double", "on": "date"}), ("id",))
+    table = f"rej.{mode}"
+    lake.ensure(table, spec)
+    raw = frame(spark, [("1", "2.5", "2026-01-01"), ("x", "1", "2026-01-02"), ("3", "much", "never"), ("4", None, None)],
+                "id string, amount string, on string")
+    more = {"keys": ["id"]} if mode == "upsert" else {}
+    for nth in (1, 2):
+        done = getattr(lake, mode)(table, raw, on_error="quarantine", **more)
+        assert (done.rows, done.rejected) == (2, 2)
+        bad = lake.read(lake.rejects(table))
+        assert bad.count() == 2 * nth
+    assert rows(bad.select("id", "amount", "_bad_cells").distinct()) == [
+        (3, None, '[{"column":"amount","value":"much"},{"column":"on","value":"never"}]'),
+        (None, 1.0, '[{"column":"id","value":"x"}]'),
+    ]
+    assert lake.read(table).count() == (4 if mode == "append" else 2)
+    clean = getattr(lake, mode)(f"rej.{mode}", raw.where("id = '4'"), on_error="quarantine", **more)
+    assert clean.rejected == 0 and lake.read(lake.rejects(table)).count() == 4
+    leftovers = [f for f in lake.files(table).collect() if "aside" in f.path or "stage" in f.path]
+    assert not leftovers
+
+
+def test_statistics_of_many_tables_are_two_scans(spark, lake):
+    for k in range(4):
+        df = spark.range(10 * k).selectExpr("id", "id * 2 AS b", "CAST(id % 2 AS INT) AS p")
+        lake.ensure(f"many.t{k}", TableSpec(df.schema, (), ("p",) if k % 2 else ()))
+        lake.append(f"many.t{k}", df)
+    spark.sql("CREATE VIEW many.v AS SELECT * FROM many.t1")
+    found = lake.stats("many")
+    sizes = {r.table_name: r for r in found.collect()}
+    assert {n: (r.row_count, r.columns) for n, r in sizes.items()} == {f"t{k}": (10 * k, 3) for k in range(4)}
+    for k in range(4):
+        assert sizes[f"t{k}"].size_bytes == sum(f.length for f in lake.files(f"many.t{k}").collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert rows(lake.stats("default").select("table_name")) == []

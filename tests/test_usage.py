@@ -1,12 +1,15 @@
 import datetime as dt
+import random
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace import dims
 from millrace.functions import identifiers, temporal
-from millrace.operators.running import idle_sessions, running_total
+from millrace.operators import running
+from millrace.operators.running import carried, idle_sessions, running_total
 from millrace.schema import TableSpec
 from millrace.usage import metering, summary
 
@@ -163,11 +166,41 @@ def test_idle_sessions_match_brute_force(spark, timeout):
         assert mine == sessions_by_hand(times, timeout)
 
 
-def test_running_totals_with_and_without_slices(spark):
-    df = spark.range(500).selectExpr("if(id % 3 = 0, null, id % 2) AS g", "id", "id % 7 AS v")
-    whole = running_total(df, ["g"], ["id"], "v", "total")
-    sliced = running_total(df, ["g"], ["id"], "v", "total", F.floor(F.col("id") / 20), large_above=170)
-    assert rows(whole) == rows(sliced)
+@pytest.mark.parametrize("cuts", [(1000,), (20,), (1,), (100, 10), (100, 20, 1)])
+def test_running_totals_over_levels(spark, cuts):
+    df = spark.range(500).selectExpr("if(id % 3 = 0, null, id % 2) AS g", "if(id < 7, null, id) AS at", "id", "id % 7 AS v")
+    df = df.repartition(5)
+    whole = Window.partitionBy("g").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = df.withColumn("total", F.sum("v").over(whole))
+    levels = [F.floor(F.col("at") / c) for c in cuts]
+    assert rows(running_total(df, ["g"], ["at", "id"], "v", "total", levels)) == rows(wanted)
+    empty = df.limit(0)
+    assert running_total(empty, ["g"], ["at", "id"], "v", "total", levels).collect() == []
+
+
+@pytest.mark.parametrize("cuts", [(1000,), (7,), (100, 10, 1)])
+def test_values_are_carried_over_levels(spark, cuts):
+    df = spark.range(400).selectExpr("id % 2 AS g", "id", "if(id % 31 = 3, id, null) AS x", "if(id = 200, 'x', null) AS y").repartition(5)
+    along = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = df.select("*", *[F.last(c, ignorenulls=True).over(along).alias(f"{c}_now") for c in "xy"])
+    levels = [F.floor(F.col("id") / c) for c in cuts]
+    found = carried(df, ["g"], ["id"], {"x_now": F.col("x"), "y_now": F.col("y")}, levels)
+    assert rows(found) == rows(wanted)
+
+
+def test_sessions_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(running, "CELLS_PER_SLICE", 3)
+    base = dt.datetime(2026, 1, 1)
+    rng = random.Random(4)
+    seconds = {f"w{k}": sorted(rng.choices(range(5000), k=120)) for k in range(4)}
+    data = [(k, base + dt.timedelta(seconds=s)) for k, v in seconds.items() for s in v]
+    df = spark.createDataFrame(data, "who string, at timestamp_ntz").repartition(7)
+    found = idle_sessions(df, ["who"], "at", 60).collect()
+    for who, times in seconds.items():
+        mine = sorted((r.session, (r.started_at - base).total_seconds(), (r.last_activity_at - base).total_seconds(), r.activities)
+                      for r in found if r.who == who)
+        assert [m[1:] for m in mine] == sessions_by_hand(times, 60)
+        assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
 
 
 def test_time_helpers(spark):
