@@ -261,4 +261,6 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     shuffling the texts to meet their verdicts.
     """
     counted = stored(with_counts(docs.select("text", "lang", "source")).drop("text"), "counts")
-    return judged(with_counts(docs), fit(counted)).where("kept").select(*docs.columns)
+    # the document stays whole beside what is counted, so no name of its columns can clash
+    whole = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"))
+    return judged(with_counts(whole), fit(counted)).where("kept").select("_document.*")

@@ -51,7 +51,7 @@ from millrace.llm.exchange import (
     stored,
     total_bytes,
 )
-from millrace.llm.text import Texts, distinct, fingerprints, is_among
+from millrace.llm.text import NO_ID, Texts, distinct, fingerprints, is_among
 
 # A perfect difference set, so each shift modulo 133 is the
 # difference of one pair.
@@ -121,7 +121,7 @@ def _result(texts: Texts, gone: np.ndarray, spans: bool) -> list[dict]:
         removed = int(part.sum())
         kept = texts.data[a:b][~part].tobytes() if removed else texts.text(i)
         row = {
-            "doc_id": int(texts.ids[i]),
+            "doc_id": None if texts.ids[i] == NO_ID else int(texts.ids[i]),
             "n_bytes": b - a,
             "n_removed": removed,
             "n_spans": int((change[a:b] > 0).sum() + (b > a and gone[a] and change[a] == 0)) if removed else 0,
