@@ -16,6 +16,9 @@ from millrace.schema import SchemaError
 BAD_CELLS = "_bad_cells"
 _BAD_TYPE = "array<struct<column:string,value:string>>"
 
+#: Columns that inference makes of JSON keys at the most.
+MAX_KEYS = 20_000
+
 _INT_MIN, _INT_MAX = -(2**31), 2**31 - 1
 
 
@@ -134,11 +137,15 @@ def json_profile(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def infer_json(lines: DataFrame, column: str = "value") -> T.StructType:
-    """Schema of JSON object lines, from all of them, keys in name order."""
-    found = {
-        r["column"]: S.widen_all(k for k in r["kinds"] if k != "null")
-        for r in json_profile(lines, column).collect()
-    }
+    """Schema of JSON object lines, from all of them, keys in name order.
+
+    The driver gets one row per key, so objects that are used as maps, with more
+    than ``MAX_KEYS`` different keys, are refused: they are one JSON column.
+    """
+    rows = json_profile(lines, column).limit(MAX_KEYS + 1).collect()
+    if len(rows) > MAX_KEYS:
+        raise SchemaError(f"more than {MAX_KEYS} different keys; declare a schema, or keep the objects as JSON")
+    found = {r["column"]: S.widen_all(k for k in r["kinds"] if k != "null") for r in rows}
     return S.make_schema(sorted(found.items()))
 
 

@@ -40,7 +40,10 @@ def last_wins(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) ->
     values = [c for c in batch.columns if c not in keys]
     if not values:
         return batch.dropDuplicates(list(keys))
-    kept = F.max_by(F.struct(*[F.col(f"`{c}`") for c in values]), newest)
+    if len(order_by) + len(rest) == len(values):
+        kept = F.max(newest)  # the order holds all there is, so nothing travels twice
+    else:
+        kept = F.max_by(F.struct(*[F.col(f"`{c}`") for c in values]), newest)
     grouped = batch.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(kept.alias("_row"))
     return grouped.select(
         *[

@@ -186,11 +186,11 @@ def capped_since(df: DataFrame, cursor: str, last: object | None, limit: int) ->
 
 
 def _capped(lake: Lakehouse, df: DataFrame, spec: SyncSpec, table: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, which never take the place of a table that has rows."""
+    """At most ``limit`` rows, the first ones by key, which never take the place of a table that has rows."""
     if spec.write_mode == OVERWRITE and lake.exists(table) and not lake.read(table).isEmpty():
         if not df.offset(limit).isEmpty():
             raise SyncError(f"{spec.stream} has more than {limit} rows; a part of them can't replace {table}")
-    return df.limit(limit)
+    return (df.orderBy(*[F.col(f"`{k}`") for k in spec.keys]) if spec.keys else df).limit(limit)
 
 
 #: Cursor types whose quantiles Spark can estimate.

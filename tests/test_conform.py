@@ -163,3 +163,14 @@ def test_decimals_of_every_scale(spark, scale, cases):
     df = spark.createDataFrame([(k, k) for k in cases], "text string, d string")
     found = {r.text: r.d for r in C.conform(df, schema, on_error="null").collect()}
     assert found == {k: None if v is None else Decimal(v) for k, v in cases.items()}
+
+
+def test_objects_used_as_maps_are_refused(spark, monkeypatch):
+    from millrace.operators import conform as module
+
+    monkeypatch.setattr(module, "MAX_KEYS", 50)
+    lines = spark.range(60).selectExpr("""'{"k' || id % {0} || '":1,"b":true}' AS value""".replace("{0}", "49"))
+    assert len(module.infer_json(lines).fields) == 50
+    more = spark.range(60).selectExpr("""'{"k' || id || '":1}' AS value""")
+    with pytest.raises(module.SchemaError, match="more than 50"):
+        module.infer_json(more)

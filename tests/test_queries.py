@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from millrace.operators.summaries import share_of_total
 from millrace.session import apply_settings
 
 from .oracle import compare, connect
@@ -36,3 +37,11 @@ def test_every_twin_has_a_query():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["order_date", "country", "orders", "units", "revenue"] and df.count() > 0
+
+
+def test_shares_run_the_joins_below_them_once(spark):
+    """The grand total reads the groups' shuffle again, not the tables."""
+    shares = share_of_total(spark.range(1000).selectExpr("id % 7 AS g", "id AS v"), ["g"], "v", "total", "share")
+    shares.collect()
+    final = shares._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Range (") == 1 and "ReusedExchange" in final
