@@ -47,8 +47,8 @@ def slugify(name: Column) -> Column:
     """A name that is safe as a table name: lower case, digits and single underscores.
 
     A name with nothing usable becomes ``x`` and four hash digits, so equal
-    inputs stay equal.  A name that is too long is cut, so whoever writes several
-    tables has to refuse names that became one.
+    inputs stay equal.  A name that is too long is cut and ends in eight hash
+    digits of the whole, so different long names stay different.
     """
     text = F.trim(F.lower(name))
     joined = F.regexp_replace(text, "[^a-z0-9]+", "_")
@@ -57,7 +57,9 @@ def slugify(name: Column) -> Column:
         bare == "", F.concat(F.lit("x"), F.substring(F.md5(name), 1, 4))
     ).otherwise(bare)
     started = F.when(named.rlike("^[0-9]"), F.concat(F.lit("t_"), named)).otherwise(named)
-    return F.regexp_replace(F.substring(started, 1, NAME_LIMIT), "_+$", "")
+    cut = F.regexp_replace(F.substring(started, 1, NAME_LIMIT - 9), "_+$", "")
+    hashed = F.concat(cut, F.lit("_"), F.substring(F.md5(started), 1, 8))
+    return F.when(F.length(started) > NAME_LIMIT, hashed).otherwise(started)
 
 
 def slug(text: str) -> str:
@@ -65,7 +67,11 @@ def slug(text: str) -> str:
     bare = re.sub("[^a-z0-9]+", "_", text.strip().lower()).strip("_")
     if not bare:
         bare = "x" + hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:4]
-    return (f"t_{bare}" if bare[:1].isdigit() else bare)[:NAME_LIMIT].rstrip("_")
+    name = f"t_{bare}" if bare[:1].isdigit() else bare
+    if len(name) <= NAME_LIMIT:
+        return name
+    digits = hashlib.md5(name.encode(), usedforsecurity=False).hexdigest()[:8]
+    return f"{name[: NAME_LIMIT - 9].rstrip('_')}_{digits}"
 
 
 def mask_secrets(config: Column, secret_keys: Iterable[str]) -> Column:

@@ -381,13 +381,10 @@ def compare_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(CAST(infra * (1 + rate) AS DECIMAL(24,8)) AS DECIMAL(18,6)) AS total_usd FROM i"""
 )
 def query_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = I.query_log(spark, sf_dir)
+    # A query runs a compute minute for every GB it scans.
+    minutes = F.expr("CAST(bytes_scanned * CAST(0.000000001 AS DECIMAL(10,9)) AS DECIMAL(20,9))")
     accounts = I.accounts(spark, sf_dir).select("tenant_id", "plan")
-    value = I.table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("query_id"),
-        F.col("value").cast("decimal(18,2)").cast("decimal(20,9)").alias("ccu_minutes"),
-    )
-    queries = log.join(value, "query_id").join(accounts, "tenant_id").select(
+    queries = I.query_log(spark, sf_dir).withColumn("ccu_minutes", minutes).join(accounts, "tenant_id").select(
         "query_id", "provider", "region", "plan", "spot", "ccu_minutes"
     )
     out = pricing.query_costs(queries, dims.rates(spark), dims.region_indexes(spark), dims.fee_bands(spark))

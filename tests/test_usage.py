@@ -219,7 +219,7 @@ def test_time_helpers(spark):
 
 
 @pytest.mark.parametrize("name,wanted", [("  Daily Revenue! ", "daily_revenue"), ("9 lives", "t_9_lives"),
-                                         ("a__b--c", "a_b_c"), ("x" * 80, "x" * 63), ("_", "x")])
+                                         ("a__b--c", "a_b_c"), ("x" * 80, "x" * 54 + "_46b05b91"), ("x" * 63, "x" * 63), ("_", "x")])
 def test_table_names_from_text(spark, name, wanted):
     found = spark.range(1).select(identifiers.slugify(F.lit(name))).first()[0]
     assert found == wanted or (wanted == "x" and found.startswith("x") and len(found) == 5)
@@ -264,3 +264,9 @@ def test_usage_that_can_not_be_priced_fails(spark):
     events = spark.sql("SELECT 'nowhere' provider, 'r' region, 'ccu' meter, false spot")
     with pytest.raises(Exception, match="unknown provider: nowhere"):
         metering.with_unit_cost(events, dims.rates(spark), dims.region_indexes(spark), strict=True).collect()
+
+
+def test_long_names_stay_apart():
+    first, second = ("orders of the region " * 4 + end for end in ("north", "south"))
+    assert identifiers.slug(first) != identifiers.slug(second)
+    assert all(len(identifiers.slug(n)) <= 63 for n in (first, second, "a b" * 40, "_" * 53 + "ab" * 20))
