@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import dims
+from millrace.plans.lakehouse_run import run_lakehouse
+from millrace.plans.models import VIEW, Model
 from millrace.plans.sync import APPEND, INCREMENTAL, Stream, SyncSpec, sync
-from millrace.plans.tables import Lakehouse, storage_bytes
+from millrace.plans.tables import Lakehouse, storage_bytes, write_json_lines
 from millrace.queries import inputs as I
 from millrace.queries import query
 from millrace.queries.merging import SQL_UPSERTED, order_changes, target_orders
 from millrace.schema import TableSpec, make_schema
 from millrace.session import scratch_path
+from millrace.sources.files import read_csv, read_json_lines
 from millrace.streaming import ingest, late
 from millrace.streaming.usage import usage_windows
 from millrace.usage import metering
@@ -107,6 +110,68 @@ def compact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read(table)
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def append_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a table partitioned by bucket and status; a row that comes twice is there twice."""
+    lake, space = new_lake(spark, "append")
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = f"{space}.orders"
+    lake.ensure(table, TableSpec(orders.schema, (), ("bucket(4, o_orderkey)", "o_orderstatus")))
+    lake.append(table, orders)
+    lake.append(table, orders.filter("o_orderstatus = 'O'"))
+    return lake.read(table)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as CSV files and back, the types found again from all cells."""
+    path = scratch_path(spark, "csv")
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders.write.option("header", True).csv(path)
+    return read_csv(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks as JSON lines and back, under a declared schema."""
+    path = scratch_path(spark, "jsonl")
+    talks = I.table(spark, sf_dir, "conversations")
+    write_json_lines(talks, path)
+    return read_json_lines(spark, path, make_schema({"conv_id": "long", "turn": "long", "role": "string", "text": "string"}))
+
+
+@query(
+    """SELECT date_trunc('month', o_orderdate) AS month, o_orderstatus AS status, count(*) AS orders,
+      CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue,
+      (SELECT count(*) FROM orders) AS synced
+    FROM orders GROUP BY 1, 2"""
+)
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run: sync, a view over the synced table, a table over the view, compaction; the table and what was synced."""
+    lake, space = new_lake(spark, "run")
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    source = {"orders": Stream("orders", lambda: orders, ("o_orderkey",), "o_orderdate")}
+    models = [
+        Model(
+            "dated",
+            f"SELECT date_trunc('month', o_orderdate) AS month, o_orderstatus AS status, "
+            f"CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM {{{{ source('{space}', 'orders') }}}}",
+            VIEW,
+            namespace=f"{space}_models",
+        ),
+        Model(
+            "monthly",
+            "SELECT month, status, count(*) AS orders, CAST(sum(price) AS DECIMAL(28,2)) AS revenue "
+            "FROM {{ ref('dated') }} GROUP BY month, status",
+            namespace=f"{space}_models",
+        ),
+    ]
+    log = run_lakehouse(spark, {"shop": (source, [SyncSpec("orders")])}, models, lake, space, compact_below=1_000_000)
+    synced = log.where("kind = 'ingest' AND status = 'succeeded'").agg(F.sum("records").alias("synced"))
+    built = lake.read(f"{space}_models.monthly").withColumn("month", F.col("month").cast("timestamp_ntz"))
+    return built.crossJoin(F.broadcast(synced))
+
+
 @query(
     """SELECT 'customer' AS table_name, count(*) AS row_count, 5 AS columns, true AS size_in_bounds FROM customer
     UNION ALL SELECT 'nation', count(*), 3, true FROM nation
