@@ -127,3 +127,34 @@ def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
     assert not any(r.held_out for r in got if r.doc_id is None) and nameless[0] < 0.3 < nameless[1]
     held = [r for r in got if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert all(r.held_out for r in held) and np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.9
+
+
+def test_toxicity_counts_every_labelled_row(spark):
+    """More labelled rows than any bound of old, and the exchanged counts as those of one place."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = [(i, prose(i, 30, 60) + (" vile beast" if i % 5 == 0 else " kind Beast" if i % 7 == 0 else "")) for i in range(300)]
+    rows += [(7, "kind"), (None, "vile beast"), (400, None), (401, " ")]
+    # the only toxic texts of their expression stand at the end of more than 20,000 short ones
+    rows += [(i, f"w{rng.integers(9)}") for i in range(1000, 30000)]
+    table = [(i, int(i % 5 == 0)) for i in range(300) if i % 3] + [(7, 0), (8, None), (None, 1)] + [(i, 0) for i in range(1000, 30000)]
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = T.toxicity(docs, spark.createDataFrame(table, "doc_id long, toxic int"))
+    assert got.count() == len(rows)
+    times = collections.Counter((i, y) for i, y in table if i is not None and y is not None)
+    train = [(t, y) for i, t in rows for y in (0, 1) for _ in range(times[i, y]) if fold[i] in (0, 1)]
+    assert len(train) > 14000
+    model = T.train(spark.createDataFrame(train, "text string, label int"))
+    counted = spark.createDataFrame([(0, t, 1 << 31 if y else 1) for t, y in train], "doc_id long, text string, mark long")
+    found = T.differences(docs, counted.repartition(4))
+    want = model.difference(Texts.of(pa.array([t for _, t in rows])))
+    ids = [(i is None, i) for i, _ in rows]
+    assert np.allclose(
+        [x for _, x in sorted(((r.doc_id is None, r.doc_id or 0), r.difference) for r in found.collect())],
+        [x for _, x in sorted(((n, i or 0), float(x)) for (n, i), x in zip(ids, want, strict=True))],
+        atol=1e-5,
+    )
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert score[None] > 0.3 > score[400] and score[400] == score[401]
