@@ -40,6 +40,9 @@ PARITIES = 8
 #: A pair is discarded if the threshold is so many nats less likely than the best similarity.
 HOPELESS = 14.0
 
+#: Parts in which texts are sent to the documents whose full sets are compared.
+PARTS = 4
+
 #: Stands for a null doc_id where arrays can hold none.
 NO_ID = -(2**63)
 
@@ -155,7 +158,10 @@ def sketches(docs: DataFrame, n: int = 3) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc_id, members) for the documents in ``wanted``: the sorted shingles as bytes."""
+    """(doc_id, members) for the documents in ``wanted``: the sorted shingles as bytes.
+
+    The join sends texts to their ids, so it is done in parts: files of one are let go before the next.
+    """
     schema = arrow_schema("doc_id long, members binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +172,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(texts.ids), pa.array(sets, pa.binary())], schema=schema)
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.join(wanted, "doc_id").mapInArrow(run, "doc_id long, members binary")
+    found: DataFrame | None = None
+    for part in range(PARTS):
+        of_part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part
+        made = rows.where(of_part).join(wanted.where(of_part), "doc_id").mapInArrow(run, "doc_id long, members binary")
+        made = stored(made, "sets")
+        release(docs.sparkSession)
+        found = made if found is None else found.unionByName(made)
+    return found
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets are similar enough."""
     schema = "a long, b long"
     made = arrow_schema(schema)
@@ -203,6 +216,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     known = pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
     known = known.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     left = stored(known.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(hopeful, schema), "hopeful")
+    release(left.sparkSession)
+    wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _full_sets(docs, stored(wanted, "wanted"), n)
     with_sets = left.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     return with_sets.select("a", "b", "members_a", "members_b").mapInArrow(exact, schema)
 
@@ -233,11 +249,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
         "buckets",
     )
     members = stored(entries.join(shared.select("bucket", "lead"), "bucket"), "members")
-    sets = stored(_full_sets(docs, members.select("doc_id").distinct(), n), "sets")
     release(spark)
 
     stars = members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(_confirmed(stars, classes, sets, percent), "links")
+    links = stored(_confirmed(stars, classes, docs, n, percent), "links")
     reached = components(links)
 
     # Buckets that still span several components: the classes outside the largest one meet all others.
@@ -279,7 +294,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
         .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
         .distinct()
     )
-    more = stored(_confirmed(pairs, classes, sets, percent), "links")
+    more = stored(_confirmed(pairs, classes, docs, n, percent), "links")
     if not more.isEmpty():
         reached = components(links.union(more))
     reached = stored(

@@ -158,3 +158,18 @@ def test_toxicity_counts_every_labelled_row(spark):
     )
     score = {r.doc_id: r.score for r in got.collect()}
     assert score[None] > 0.3 > score[400] and score[400] == score[401]
+
+
+def test_full_sets_of_the_wanted_alone(spark):
+    """Each wanted document has its set once, whatever part it falls in; without any there is none."""
+    from millrace.llm import setsketch as K
+
+    rows = [(i, prose(i, 20)) for i in range(60)] + [(None, prose(61, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = docs.where("doc_id % 2 = 0").select("doc_id")
+    pairs = spark.createDataFrame([(0, 2)], "a long, b long")
+    classes = K.sketches(docs, 3)
+    got = {r.doc_id: len(r.members) // 8 for r in K._full_sets(docs, wanted, 3).collect()}
+    assert got == {i: 18 for i in range(0, 60, 2)}
+    assert K._confirmed(pairs, classes, docs, 3, 85).count() == 0
+    assert K.near_duplicates(docs.where("doc_id < 0")).count() == 0
