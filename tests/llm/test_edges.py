@@ -160,6 +160,19 @@ def test_toxicity_counts_every_labelled_row(spark):
     assert score[None] > 0.3 > score[400] and score[400] == score[401]
 
 
+def test_a_passage_is_found_beside_every_form_of_it(spark):
+    """Of three forms each is like the middle one; the last text's copy of the second stands for it."""
+    base = prose(900, 60).split()
+    left, right = list(base), list(base)
+    left[20], right[40] = "leftward", "rightward"
+    texts = [" ".join(x) for x in (base, left, right, left)]
+    rows = [(i, prose(910 + i, 40) + " " + x + " " + prose(920 + i, 40)) for i, x in enumerate(texts)]
+    got = {(r.doc_id, r.other_id) for r in near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, 0), (2, 0), (3, 1)} <= got
+    # 3 is a copy of 1, but the first text resembles it too and is looked at first
+    assert (3, 0) in got
+
+
 def test_full_sets_of_the_wanted_alone(spark):
     """Each wanted document has its set once, whatever part it falls in; without any there is none."""
     from millrace.llm import setsketch as K
