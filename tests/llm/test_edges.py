@@ -186,3 +186,28 @@ def test_full_sets_of_the_wanted_alone(spark):
     assert got == {i: 18 for i in range(0, 60, 2)}
     assert K._confirmed(pairs, classes, docs, 3, 85).count() == 0
     assert K.near_duplicates(docs.where("doc_id < 0")).count() == 0
+
+
+def test_lines_bring_no_texts_together(spark, monkeypatch):
+    """Texts of the same short lines in other orders are no candidates; a word changed in the middle leaves a piece."""
+    from millrace.llm import passages as P
+
+    assert P.piece_words(50, 0.8) == 25 and P.piece_words(50, 1.0) == 50
+    met, stored = [], P.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        met.extend(out.collect() if name == "stretches" else [])
+        return out
+
+    monkeypatch.setattr(P, "stored", watched)
+    lines = [prose(700 + k, 13) for k in range(12)]
+    rows = [(i, " ".join(lines[(k * s + i) % 12] for k in range(12))) for i, s in enumerate((1, 5, 7, 11))]
+    passage = prose(800, 50).split()
+    rows.append((10, prose(801, 30) + " " + " ".join(passage) + " " + prose(802, 30)))
+    passage[25] = "changed"
+    rows.append((11, prose(803, 30) + " " + " ".join(passage) + " " + prose(804, 30)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = P.near_passages(docs, links=False).collect()
+    assert [(r.doc_id, r.other_id, r.start, r.stop) for r in found] == [(11, 10, 30, 80)]
+    assert {(r.doc_id, r.other_id) for r in met} == {(11, 10)}
