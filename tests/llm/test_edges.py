@@ -211,3 +211,21 @@ def test_lines_bring_no_texts_together(spark, monkeypatch):
     found = P.near_passages(docs, links=False).collect()
     assert [(r.doc_id, r.other_id, r.start, r.stop) for r in found] == [(11, 10, 30, 80)]
     assert {(r.doc_id, r.other_id) for r in met} == {(11, 10)}
+
+
+def test_few_pairs_are_probed_at_once(spark, monkeypatch):
+    """Whole sets go to the workers in small batches; the session's own size is back afterwards."""
+    from millrace.llm import overlap as O
+
+    key, sizes, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", [], O.stored
+    before = spark.conf.get(key)
+
+    def watched(df, name):
+        sizes.extend([int(spark.conf.get(key))] if name == "links" else [])
+        return stored(df, name)
+
+    monkeypatch.setattr(O, "stored", watched)
+    rows = [(1, prose(1, 60)), (2, prose(1, 60) + " more"), (3, prose(2, 60))]
+    got = {r.doc_id: r.component_id for r in O.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert sizes == [O.PROBED] * 2 and spark.conf.get(key) == before
