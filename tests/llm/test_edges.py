@@ -229,3 +229,31 @@ def test_few_pairs_are_probed_at_once(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in O.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
     assert sizes == [O.PROBED] * 2 and spark.conf.get(key) == before
+
+
+def test_one_line_in_many_texts_makes_few_pairs(spark, monkeypatch):
+    """Texts that share 40 words only meet in no last round; forms of one passage still find each other there."""
+    from millrace.llm import passages as P
+
+    met, stored = [], P.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        met.append(out.select("doc_id", "other_id").collect()) if name == "stretches" else None
+        return out
+
+    monkeypatch.setattr(P, "stored", watched)
+    line, shared = prose(880, 40), prose(881, 90).split()
+    rows = [(i, prose(1000 + i, 60) + " " + line + " " + prose(1200 + i, 60)) for i in range(60)]
+    for i in range(60, 64):
+        form = list(shared)
+        form[20 * (i - 60) + 12] = f"changed{i}"
+        rows.append((i, prose(1000 + i, 60) + " " + " ".join(form) + " " + prose(1200 + i, 60)))
+    found = P.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in met[-1]} <= set(range(60, 64))
+    assert {(r.doc_id, r.other_id) for r in found} == {(a, b) for a in range(60, 64) for b in range(60, a)}
+    # a passage of twelve times that length, of which one part is too poor for a look of its own
+    poor = [w if k >= 120 or k % 14 else f"poor{k}" for k, w in enumerate(prose(882, 600).split())]
+    rows = [(1, prose(882, 600)), (2, prose(883, 60) + " " + " ".join(poor) + " " + prose(884, 60))]
+    left = {r.doc_id: r for r in P.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(words(left[2].text)) < 120 + 120
