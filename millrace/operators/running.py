@@ -5,6 +5,10 @@ group are cut into cells along its order, and cells into coarser ones: rows are
 summed within their cell, cells within the coarser cell, and only the coarsest
 ones across the group.  There is one plan for groups of every size, and nothing
 is counted when it is made.
+
+Totals are joined back by merging, since rows and cells are dealt by the same keys
+and sizes guessed before the run can be far off (parsed messages seem a hundredth
+of what they are), which would send all rows through the driver.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ def before_cells(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(finest))).alias(c) for c in lasts],
     )
     above = before_cells(whole, by, upper, sums, lasts).withColumnsRenamed({c: f"_up_{c}" for c in [*sums, *lasts]})
-    placed = cells.select(*outer, finest, *[v.alias(c) for c, v in inside.items()]).join(above, outer)
+    placed = cells.select(*outer, finest, *[v.alias(c) for c, v in inside.items()]).join(above.hint("merge"), outer)
     return placed.select(
         *outer,
         finest,
@@ -78,7 +82,7 @@ def running_total(
         Window.unboundedPreceding, Window.currentRow
     )
     total = F.sum(amount).over(inside) + F.coalesce("_before", F.lit(0))
-    return keyed.join(before, ["_key", names[-1]]).select(*[F.col(f"`{c}`") for c in df.columns], total.alias(out))
+    return keyed.join(before.hint("merge"), ["_key", names[-1]]).select(*[F.col(f"`{c}`") for c in df.columns], total.alias(out))
 
 
 def carried(

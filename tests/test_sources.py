@@ -228,6 +228,16 @@ def test_states_of_a_log_in_many_blocks(spark, tmp_path):
     assert found == {i: i - i // 7 for i in range(7, 3000, 7)}
 
 
+def test_counting_a_log_never_broadcasts_its_rows(spark, tmp_path):
+    """Parsed messages seem a hundredth of their size to the planner; their rows must not pass the driver."""
+    lines = [message("s", record='{"id":%d}' % i) if i % 5 else message("s", state=f'{{"c":{i}}}') for i in range(1, 2000)]
+    write(tmp_path / "log", "\n".join(lines))
+    messages = protocol.parse_messages(protocol.read_log(spark, f"file:{tmp_path}"), keep=["position"])
+    found = protocol.committed_states(messages, max_records=1000)
+    assert len(found.collect()) == 249  # record 1000 is line 1249
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_log_is_a_source_of_syncs(spark, lake, tmp_path):
     lines = [message("a", record='{"id":1,"v":"x"}'), message("b", record='{"id":9}'), message("a", record='{"id":1,"v":"x"}'),
              message("a", record='{"id":2,"v":"y"}')]
