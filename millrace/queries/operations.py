@@ -205,7 +205,8 @@ def period_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def human_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(F.col("o_totalprice") / 40)
-    size = F.floor("o_totalprice") * F.col("o_custkey") * F.col("o_custkey")
+    # Beyond four million customers the product is no BIGINT any more.
+    size = F.floor("o_totalprice").cast("decimal(38,0)") * F.col("o_custkey") * F.col("o_custkey")
     return I.table(spark, sf_dir, "orders").select(
         "o_orderkey",
         temporal.format_duration(seconds).alias("duration"),

@@ -45,3 +45,14 @@ def test_shares_run_the_joins_below_them_once(spark):
     shares.collect()
     final = shares._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Range (") == 1 and "ReusedExchange" in final
+
+
+def test_sizes_beyond_a_bigint(spark, tmp_path):
+    """With millions of customers a size is larger than 2^63."""
+    made = [(1, 5_400_000, 450_000.5), (2, -3, 47.0), (3, 2_000_000_000, 500_000.0), (4, 12, 55.9)]
+    orders = spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_totalprice double")
+    orders.write.parquet(f"file:{tmp_path}/orders.parquet")
+    found = [tuple(r) for r in QUERIES["human_text"](spark, f"file:{tmp_path}").orderBy("o_orderkey").collect()]
+    assert found == [
+        (1, "3h 07m", "11934389.5TB"), (2, "1.0s", "423B"), (3, "3h 28m", "1818989403545.9TB"), (4, "1.0s", "7.7KB"),
+    ]
